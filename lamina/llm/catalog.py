@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import oracle, quality, sharding
+
 
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_shards": sharding.op1_best_fit_shards,
+        "op7_host_quality": quality.op7_host_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(oracle.QUERIES)
