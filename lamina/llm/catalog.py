@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle, quality, sharding
+from . import oracle, quality, sharding, urls
 
 
 
@@ -10,6 +10,7 @@ from . import oracle, quality, sharding
 def queries() -> dict:
     return {
         "op1_best_fit_shards": sharding.op1_best_fit_shards,
+        "op2_url_cascade": urls.op2_url_cascade,
         "op7_host_quality": quality.op7_host_quality,
     }
 

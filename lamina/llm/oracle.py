@@ -37,6 +37,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1
 FROM f
 """
 
+_URLS = r"""
+WITH rules(verdict, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
+  ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+best AS (
+  SELECT rid, max({'n': length(rh || rp), 'k': rh || rp, 'v': verdict}) AS b
+  FROM p, rules WHERE (host = rh OR host LIKE '%.' || rh) AND path LIKE rp || '%' GROUP BY rid)
+SELECT page_id, host, path, b.k AS rule, coalesce(b.v, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
+"""
+
 QUERIES: dict[str, str] = {
+    "op2_url_cascade": _URLS,
     "op7_host_quality": _QUALITY,
 }
