@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle, packing, quality, sharding, urls
+from . import oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op2_url_cascade": urls.op2_url_cascade,
         "op5_pattern_packing": packing.op5_pattern_packing,
         "op7_host_quality": quality.op7_host_quality,
+        "op8_warc_roundtrip": warc.op8_warc_roundtrip,
     }
 
 

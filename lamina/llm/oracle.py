@@ -51,7 +51,21 @@ best AS (
 SELECT page_id, host, path, b.k AS rule, coalesce(b.v, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+g AS (SELECT page_id, strlen(b)::BIGINT AS payload_bytes, sha1(b) AS h,
+             min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(h, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM g
+"""
+
 QUERIES: dict[str, str] = {
+    "op8_warc_roundtrip": _WARC,
     "op2_url_cascade": _URLS,
     "op7_host_quality": _QUALITY,
 }
