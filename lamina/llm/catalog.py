@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle, packing, quality, sharding, urls, warc
+from . import decontamination, oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pattern_packing": packing.op5_pattern_packing,
         "op7_host_quality": quality.op7_host_quality,
         "op8_warc_roundtrip": warc.op8_warc_roundtrip,
+        "op9_prefix_decontamination": decontamination.op9_prefix_decontamination,
     }
 
 
