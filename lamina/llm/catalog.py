@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, oracle, packing, quality, sharding, urls, warc
+from . import decontamination, licenses, oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "op1_best_fit_shards": sharding.op1_best_fit_shards,
         "op2_url_cascade": urls.op2_url_cascade,
+        "op3_license_diagonals": licenses.op3_license_diagonals,
         "op5_pattern_packing": packing.op5_pattern_packing,
         "op7_host_quality": quality.op7_host_quality,
         "op8_warc_roundtrip": warc.op8_warc_roundtrip,
