@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, oracle, packing, quality, sharding, urls, warc
+from . import decontamination, jaccard, licenses, oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op2_url_cascade": urls.op2_url_cascade,
         "op3_license_diagonals": licenses.op3_license_diagonals,
         "op5_pattern_packing": packing.op5_pattern_packing,
+        "op6_parity_jaccard": jaccard.op6_parity_jaccard,
         "op7_host_quality": quality.op7_host_quality,
         "op8_warc_roundtrip": warc.op8_warc_roundtrip,
         "op9_prefix_decontamination": decontamination.op9_prefix_decontamination,

@@ -87,7 +87,26 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_h
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
+_JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT x.rid AS a, y.rid AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.rid < y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * m >= 80 * (p.n + q.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN reach ON reach.a = d.rid LEFT JOIN d o ON o.rid = reach.b
+GROUP BY d.rid, d.doc_id, n.n
+"""
+
 QUERIES: dict[str, str] = {
+    "op6_parity_jaccard": _JACCARD,
     "op9_prefix_decontamination": _DECONTAMINATION,
     "op8_warc_roundtrip": _WARC,
     "op2_url_cascade": _URLS,
