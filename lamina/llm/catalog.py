@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, oracle, packing, quality, sharding, urls, warc
+from . import decontamination, jaccard, licenses, lines, oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_best_fit_shards": sharding.op1_best_fit_shards,
         "op2_url_cascade": urls.op2_url_cascade,
         "op3_license_diagonals": licenses.op3_license_diagonals,
+        "op4_minhash_lines": lines.op4_minhash_lines,
         "op5_pattern_packing": packing.op5_pattern_packing,
         "op6_parity_jaccard": jaccard.op6_parity_jaccard,
         "op7_host_quality": quality.op7_host_quality,

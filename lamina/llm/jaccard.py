@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, sent
+from .buckets import closed_components, meetings, similar_sets
+from .common import cut, sent
 from .kernels import LOWER, mix, run_hash, slices, span_hash
 
 SHINGLE = 5
@@ -171,44 +172,8 @@ def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
                     part = row[at : at + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 18)].view(np.int64)), pa.array(node[part]), pa.array(n[part].astype(np.int32))], ["sig", "node", "n"])
 
-    def meet(batches):
-        # rows come sorted by sig, n, node; of the block at hand only its first and last rows are held
-        last_sig = last_node = None
-        first = (0, 0)
-        alone = False
-        for b in batches:
-            sig, node, n = (np.asarray(c) for c in b.columns)
-            if not len(sig):
-                continue
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            new[0] = last_sig is None or sig[0] != last_sig
-            repeat = np.zeros(len(sig), bool)
-            repeat[1:] = ~new[1:] & (node[1:] == node[:-1])
-            repeat[0] = not new[0] and node[0] == last_node
-            keep = ~repeat
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1  # -1: goes on from the batch before
-            lead_node = np.where(run >= 0, node[starts[np.maximum(run, 0)]] if len(starts) else 0, first[0])
-            member = keep & (node != lead_node)
-            out = [(sig[member], node[member], n[member], lead_node[member])]
-            # a block's first row is told once the block has a second set
-            has = np.zeros(len(starts), bool)
-            has[run[member & (run >= 0)]] = True
-            out.append((sig[starts[has]], node[starts[has]], n[starts[has]], node[starts[has]]))
-            if alone and (member & (run < 0)).any():
-                out.append((np.array([last_sig]), np.array([first[0]]), np.array([first[1]], n.dtype), np.array([first[0]])))
-                alone = False
-            last_sig, last_node = sig[-1], node[-1]
-            if len(starts):
-                first, alone = (node[starts[-1]], n[starts[-1]]), not has[-1]
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int64))], ["sig", "node", "n", "leader"])
-
     made = docs.select(F.col(text).alias("_text")).mapInArrow(emit, "sig long, node long, n int")
-    dealt = made.repartition("sig").sortWithinPartitions("sig", "n", "node")
-    return dealt.mapInArrow(meet, "sig long, node long, n int, leader long")
+    return meetings(made)
 
 
 def _verified(docs: DataFrame, survey: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
@@ -227,19 +192,7 @@ def _verified(docs: DataFrame, survey: DataFrame, pairs: DataFrame, text: str, k
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sent(wanted), F.col("_id").eqNullSafe(F.col("_want")))
     found = chosen.select("_id", "_text", "node").mapInArrow(sets, "node long, set binary")
     found = cut(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-
-    def judge(batches):
-        for b in batches:
-            a, c = (np.asarray(x) for x in b.columns[:2])
-            good = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), np.uint64) for j in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = common * DEN >= (len(x) + len(y) - common) * NUM
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(c[good])], ["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    return similar_sets(pairs, found, NUM, DEN)
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -250,23 +203,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     survey = cut(_survey(docs, text, key), "survey")
     members = cut(_bucketed(docs, _weights(survey), text), "members")
-    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    firsts = cut(ordered(members.where("node <> leader"), F.col("node"), F.col("leader")).distinct(), "pairs")
-    links = cut(_verified(docs, survey, firsts, text, key), "links")
-    if not links.isEmpty():
-        labels = cut(connected_components(links), "components")
-    else:
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    placed = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = cut(placed.join(open_, "sig", "left_semi"), "open")
-    x, y = rest.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), rest.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = x.join(y, "sig").where(f"a < b and ca <> cb and least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}").select("a", "b").distinct()
-    across = cut(across.join(firsts, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = cut(_verified(docs, survey, across, text, key), "links")
-        if not more.isEmpty():
-            labels = cut(connected_components(links.unionByName(more)), "components")
+    labels = closed_components(members, lambda pairs: _verified(docs, survey, pairs, text, key), NUM, DEN)
     rows = survey.where("slot is null").select("_id", "n", "node")
     grouped = cut(rows.join(labels, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")), "grouped")
     least = cut(grouped.where("c is not null").groupBy("c").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "least")
