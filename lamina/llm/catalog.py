@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, lines, oracle, packing, quality, sharding, urls, warc
+from . import decontamination, html, jaccard, licenses, lines, oracle, packing, quality, sharding, urls, warc
 
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_host_quality": quality.op7_host_quality,
         "op8_warc_roundtrip": warc.op8_warc_roundtrip,
         "op9_prefix_decontamination": decontamination.op9_prefix_decontamination,
+        "op10_lstm_extraction": html.op10_lstm_extraction,
     }
 
 
