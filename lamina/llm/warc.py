@@ -26,6 +26,8 @@ from .common import cut, sent, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
+#: Byte ranges are dealt to at most so many tasks; a task may read several.
+MOST_TASKS = 20_000
 VERSION = b"WARC/1."
 HEADER_LIMIT = 1 << 16
 RECORDS = "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, file string, position long"
@@ -217,7 +219,8 @@ def read_warc(spark: SparkSession, files: DataFrame | str, split: int = SPLIT_BY
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     dealt = files.select("file").mapInArrow(ranges, "file string, start long, stop long, size long")
-    return dealt.repartition("file", "start").mapInArrow(run, RECORDS)
+    dealt = cut(dealt, "ranges")
+    return dealt.repartition(max(1, min(dealt.count(), MOST_TASKS)), "file", "start").mapInArrow(run, RECORDS)
 
 
 def op8_warc_roundtrip(spark, sf_dir: str) -> DataFrame:
