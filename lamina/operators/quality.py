@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lamina.functions.classify import splits_word
 from lamina.functions.text import percent
 from lamina.schemas import STRATEGIES, ChunkingConfig
+from lamina.sources.durable import durable
 
 from .chunk import chunk_documents, units
 from .validate import validate_chunks, with_pos
@@ -70,7 +71,8 @@ def compare_strategies(documents: DataFrame, blocks: DataFrame, names: list[str]
     rows = []
     for name in names or list(STRATEGIES):
         label, config = STRATEGIES[name]
-        rows.append(evaluate_quality(documents, chunk_documents(documents, config, blocks), config, blocks).withColumn("label", F.lit(label)))
+        chunks = durable(chunk_documents(documents, config, blocks), "chunks")
+        rows.append(durable(evaluate_quality(documents, chunks, config, blocks).withColumn("label", F.lit(label)), "quality"))
     return reduce(DataFrame.unionByName, rows)
 
 

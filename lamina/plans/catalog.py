@@ -14,6 +14,7 @@ from lamina.operators.noise import noise_lines
 from lamina.operators.quality import comparison_cells, compare_strategies, evaluate_quality
 from lamina.operators.validate import lost_tokens, validate_blocks, validate_chunks
 from lamina.schemas import STRATEGIES
+from lamina.sources.durable import durable
 from lamina.sources.pages import conversation_pages, document_pages, extracted_documents
 from lamina.sources.sinks import from_json, to_json
 
@@ -22,8 +23,9 @@ V1, V21, V22 = (STRATEGIES[k][1] for k in ("v1.0", "v2.1", "v2.2"))
 
 def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     pages = conversation_pages(spark, sf_dir)
-    blocks = S.structured_blocks(pages)
-    return pages, blocks, *S.normalized_documents(pages, blocks, True)
+    blocks = durable(S.structured_blocks(pages), "blocks")
+    documents, placed = S.normalized_documents(pages, blocks, True)
+    return pages, blocks, durable(documents, "documents"), durable(placed, "placed")
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,7 @@ def sentence_spans(spark, sf_dir):
 
 
 def structured_blocks(spark, sf_dir):
-    return _structured(spark, sf_dir)[1]
+    return S.structured_blocks(conversation_pages(spark, sf_dir))
 
 
 def line_blocks(spark, sf_dir):
@@ -130,33 +132,35 @@ def page_attribution(spark, sf_dir):
 
 def chunk_issues(spark, sf_dir):
     """Issues of chunks broken on purpose: every third is shifted by one and every fifth loses its index."""
-    docs = _plain(spark, sf_dir)
+    docs = durable(_plain(spark, sf_dir), "documents")
     broken = chunk_documents(docs, V1).withColumn("pos", F.col("chunk_index"))
     broken = broken.withColumn("start_char", F.when(F.col("chunk_index") % 3 == 2, F.col("start_char") + 1).otherwise(F.col("start_char")))
     broken = broken.withColumn("chunk_index", F.when(F.col("pos") % 5 == 4, F.col("pos") + 1).otherwise(F.col("pos")))
-    return validate_chunks(docs, broken, V1).groupBy("invariant").agg(F.count(F.lit(1)).alias("n"))
+    return validate_chunks(docs, durable(broken, "chunks"), V1).groupBy("invariant").agg(F.count(F.lit(1)).alias("n"))
 
 
 def chunk_validation(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    issues = validate_chunks(documents, chunk_documents(documents, V22, blocks), V22, blocks)
+    issues = validate_chunks(documents, durable(chunk_documents(documents, V22, blocks), "chunks"), V22, blocks)
     counted = issues.groupBy("document_id").agg(F.count(F.lit(1)).alias("issues"))
     return documents.select("document_id").join(counted, "document_id", "left").select("document_id", F.coalesce("issues", F.lit(0)).alias("issues"), F.col("issues").isNull().alias("is_valid"))
 
 
 def block_issues(spark, sf_dir):
-    pages, blocks, _, _ = _structured(spark, sf_dir)
+    pages = conversation_pages(spark, sf_dir)
+    blocks = durable(S.structured_blocks(pages), "blocks")
     return validate_blocks(blocks, S.structured_text(blocks), pages)
 
 
 def lossless_tokens(spark, sf_dir):
-    pages, blocks, _, _ = _structured(spark, sf_dir)
+    pages = conversation_pages(spark, sf_dir)
+    blocks = durable(S.structured_blocks(pages), "blocks")
     return lost_tokens(pages, blocks)
 
 
 def quality_report(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    return evaluate_quality(documents, chunk_documents(documents, V22, blocks), V22, blocks)
+    return evaluate_quality(documents, durable(chunk_documents(documents, V22, blocks), "chunks"), V22, blocks)
 
 
 def strategy_comparison(spark, sf_dir):
@@ -165,7 +169,7 @@ def strategy_comparison(spark, sf_dir):
 
 
 def json_documents(spark, sf_dir):
-    _, blocks, _, _ = _structured(spark, sf_dir)
+    blocks = durable(S.structured_blocks(conversation_pages(spark, sf_dir)), "blocks")
     return from_json(to_json(blocks, S.structured_text(blocks)))
 
 
@@ -177,7 +181,8 @@ def token_counts(spark, sf_dir):
 def page_numbers_in_order(spark, sf_dir):
     at = Window.partitionBy("document_id").orderBy("page_number")
     pages = conversation_pages(spark, sf_dir)
-    return pages.select("document_id", "page_number", T.page_delimiter(F.col("text"), F.lead("text").over(at)).alias("delimiter")).where("delimiter is not null")
+    following = pages.withColumn("next", F.lead("text").over(at)).where("next is not null")
+    return following.select("document_id", "page_number", T.page_delimiter(F.col("text"), F.col("next")).alias("delimiter"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
