@@ -1,9 +1,10 @@
 """From shared keys to components without making all pairs of a key.
 
-Every member of a key is first verified against the key's first member only; the links
-found are closed to components; then only those pairs of a key are made and verified whose
-ends are still in different components.  All pairs of a key are so either in one component
-or compared, and a key with many alike members costs as many pairs as it has members.
+Every node is first verified against one hub of its keys, then against one drawn leader; the
+links found are closed to components.  Only then are pairs of a key made, of nodes still in
+different components whose sizes and parity sketches don't rule them out, and verified.
+All pairs of a key are so in one component, ruled out by a proven bound, or compared; and a
+group of alike nodes costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
+from .kernels import mix
+
+#: Columns of a parity sketch, 64 positions each.
+FOLDS = [f"f{i}" for i in range(8)]
 
 
 def _meet(batches):
@@ -64,35 +69,83 @@ def meetings(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_meet, "sig long, node long, n int, leader long")
 
 
-def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(node, component) of all nodes with a link, from the cut table ``members`` of ``meetings``.
+def parity_folds(owner: np.ndarray, h: np.ndarray, n: int) -> list[pa.Array]:
+    """A 512-bit parity sketch of each of n sets, as the FOLDS columns of longs; ``h``: distinct hashes of set ``owner``."""
+    bits = np.zeros(n * 64 * len(FOLDS), np.uint8)
+    np.bitwise_xor.at(bits, owner * 64 * len(FOLDS) + (mix(h ^ np.uint64(0x33)) & np.uint64(64 * len(FOLDS) - 1)).astype(np.int64), 1)
+    words = np.packbits(bits, bitorder="little").view(np.int64).reshape(n, len(FOLDS))
+    return [pa.array(words[:, i].copy()) for i in range(len(FOLDS))]
 
-    ``verify`` keeps the pairs (a, b) that are linked.  Pairs whose sizes alone rule out a
-    similarity of num / den aren't made.
-    """
+
+def _closest(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """(a, b): each node with the leader of most of its keys."""
+    shared = rows.select("sig", "node").join(lead, "sig").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
+    closest = shared.groupBy("node").agg(F.max(F.struct("k", "leader"))["leader"].alias("leader"))
     x, y = F.col("node"), F.col("leader")
-    firsts = cut(members.where("node <> leader").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
-    links = cut(verify(firsts), "links")
-    if links.isEmpty():
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    else:
-        labels = cut(connected_components(links), "components")
+    return cut(closest.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, n, c) of the keys whose nodes are in two components or more."""
     placed = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = cut(placed.join(mixed, "sig", "left_semi"), "open")
-    left = rest.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = left.join(right, "sig").where(f"a < b and ca <> cb and least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()
-    across = cut(across.join(firsts, ["a", "b"], "left_anti"), "across")
+    return cut(placed.join(mixed, "sig", "left_semi"), "open")
+
+
+def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], folds: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of all nodes with a link, from the cut table ``members`` of ``meetings``.
+
+    ``verify`` keeps the pairs (a, b) that are linked; ``folds``: node and its parity_folds.
+    First each node is verified against a hub: of each key the node that meets most others,
+    of a node's hubs the one it shares most keys with.  A near copy meets its original in
+    more keys than it meets other copies, so groups of copies close here.  Then, among keys
+    still mixed, against a leader drawn by hash.  Last all pairs of a key whose ends are in
+    different components, if sizes and sketches leave them a similarity of num / den.
+    """
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    fame = members.select("sig", "node").join(sizes, "sig").groupBy("node").agg(F.sum("m").alias("fame"))
+    hubs = members.select("sig", "node").join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node"))["node"].alias("leader"))
+    tried = _closest(members, hubs)
+    links = cut(verify(tried), "links")
+    labels = _labels(links)
+    rest = _mixed(members, labels)
+    drawn = rest.groupBy("sig").agg(F.max(F.struct(F.xxhash64("node", F.lit(5)), F.col("node").alias("node")))["node"].alias("leader"))
+    second = cut(_closest(rest, drawn).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = cut(verify(second), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = _labels(links)
+        rest = _mixed(rest.drop("c"), labels)
+    tried = tried.unionByName(second)
+    sides = rest.join(folds, "node")
+    left = sides.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(f).alias(f"a{f}") for f in FOLDS])
+    right = sides.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[F.col(f).alias(f"b{f}") for f in FOLDS])
+    differ = " + ".join(f"bit_count(a{f} ^ b{f})" for f in FOLDS)
+    fits = f"a < b and ca <> cb and least(na, nb) * {den} >= greatest(na, nb) * {num} and ({differ}) * {den + num} <= (na + nb) * {den - num}"
+    across = left.join(right, "sig").where(fits).select("a", "b").distinct()
+    across = cut(across.join(tried, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = cut(verify(across), "links")
         if not more.isEmpty():
-            labels = cut(connected_components(links.unionByName(more)), "components")
+            labels = _labels(links.unionByName(more))
     return labels
 
 
-def similar_sets(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets, sorted 64-bit hashes in a binary column, have Jaccard similarity num / den or more."""
+def _labels(links: DataFrame) -> DataFrame:
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return cut(connected_components(links), "components")
+
+
+def hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def similar_sets(pairs: DataFrame, sets: DataFrame, num: int, den: int, read: Callable[[bytes], np.ndarray] = hashes) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard similarity num / den or more.
+
+    ``sets``: node and a binary column that ``read`` turns into sorted distinct hashes.
+    """
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def judge(batches):
@@ -100,9 +153,9 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             a, b = (np.asarray(x) for x in batch.columns[:2])
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
-                x, y = (np.frombuffer(batch.column(j)[i].as_buffer(), np.uint64) for j in (2, 3))
+                x, y = (read(batch.column(j)[i].as_py()) for j in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = common * den >= (len(x) + len(y) - common) * num
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct()

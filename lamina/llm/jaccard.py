@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import closed_components, meetings, similar_sets
+from .buckets import FOLDS, closed_components, meetings, parity_folds, similar_sets
 from .common import cut, sent
 from .kernels import LOWER, mix, run_hash, slices, span_hash
 
@@ -35,7 +35,7 @@ NUM, DEN = 80, 100
 #: Sizes of a band: from s to BAND * s.  Blocks: BLOCKS for each that a document has to send.
 BAND, BLOCKS = 2, 3
 #: Counters for frequent shingles, and the share of a task's documents from which one is told.
-SLOTS, FREQUENT = 1 << 20, 1 / 256
+SLOTS, FREQUENT = 1 << 22, 1 / 1024
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE):
@@ -120,28 +120,55 @@ def blocks(offsets: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple[np.
     return rows[unit[sent_]], sig[sent_]
 
 
+def sketches(offsets: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set as bits: 2 to 4 positions for each shingle, a power of two in all."""
+    n = np.diff(offsets)
+    size = np.where(n > 0, 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64)), 0)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    bits = np.zeros(begins[-1], np.uint8)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = begins[owner] + (mix(h ^ np.uint64(0x77)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(bits, at, 1)
+    packed, begins = np.packbits(bits, bitorder="little").tobytes(), begins // 8
+    return [packed[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference: the Hamming distance, the longer sketch folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _survey(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_id, n, node) for every row, and (slot, count) for shingles frequent in a task."""
+    """(_id, n, node, sketch) for every row, and (slot, count) for shingles frequent in a task."""
     kind = docs.schema[key].dataType.simpleString()
+    names = ["_id", "n", "node", "slot", "count", "sketch", *FOLDS]
 
     def run(batches):
-        counts, seen = np.zeros(SLOTS, np.int64), 0
+        counts, seen = np.zeros(SLOTS, np.int32), 0
         for b in batches:
-            ids, n, node = b.column(0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids, n, node, bits, folds = b.column(0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [[] for _ in FOLDS]
             for _, offsets, h in shingle_sets(b.column(1)):
                 n.append(np.diff(offsets))
                 node.append(nodes_of(offsets, h))
+                bits += sketches(offsets, h)
+                for kept, new in zip(folds, parity_folds(np.repeat(np.arange(len(offsets) - 1), n[-1]), h, len(offsets) - 1), strict=True):
+                    kept.append(new)
                 np.add.at(counts, (h % np.uint64(SLOTS)).astype(np.int64), 1)
                 seen += len(offsets) - 1
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), none, none], ["_id", "n", "node", "slot", "count"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), none, none, pa.array(bits, pa.binary()), *(pa.concat_arrays([pa.array([], pa.int64()), *x]) for x in folds)], names)
             id_type = ids.type
         if seen:
-            slot = np.flatnonzero(counts >= max(2, seen * FREQUENT))
+            slot = np.flatnonzero(counts >= max(3, seen * FREQUENT))
             none = pa.nulls(len(slot), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), id_type), none, none, pa.array(slot), pa.array(counts[slot])], ["_id", "n", "node", "slot", "count"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), id_type), none, none, pa.array(slot), pa.array(counts[slot].astype(np.int64)), pa.nulls(len(slot), pa.binary()), *[none] * len(FOLDS)], names)
 
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, n long, node long, slot long, count long")
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, n long, node long, slot long, count long, sketch binary, " + ", ".join(f"{f} long" for f in FOLDS))
 
 
 def _weights(survey: DataFrame) -> np.ndarray:
@@ -176,8 +203,25 @@ def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
     return meetings(made)
 
 
+def _near_enough(survey: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that their sketches do not already prove too different."""
+    known = survey.where("slot is null and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(i)) for i in (2, 3))
+            most = (na + nb) * (DEN - NUM) // (DEN + NUM)
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            good = np.array([least_difference(p, q) <= m for p, q, m in zip(x, y, most, strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(docs: DataFrame, survey: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; computed on whole sets."""
+    """The pairs (a, b) of nodes whose sets are similar: those their sketches allow, computed on whole sets."""
+    pairs = cut(_near_enough(survey, pairs), "near")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(survey.where("slot is null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_want")), "wanted")
 
@@ -191,7 +235,7 @@ def _verified(docs: DataFrame, survey: DataFrame, pairs: DataFrame, text: str, k
 
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sent(wanted), F.col("_id").eqNullSafe(F.col("_want")))
     found = chosen.select("_id", "_text", "node").mapInArrow(sets, "node long, set binary")
-    found = cut(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    found = cut(found, "sets")
     return similar_sets(pairs, found, NUM, DEN)
 
 
@@ -203,7 +247,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     survey = cut(_survey(docs, text, key), "survey")
     members = cut(_bucketed(docs, _weights(survey), text), "members")
-    labels = closed_components(members, lambda pairs: _verified(docs, survey, pairs, text, key), NUM, DEN)
+    folds = survey.where("slot is null and n > 0").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", *FOLDS)
+    labels = closed_components(members, lambda pairs: _verified(docs, survey, pairs, text, key), folds, NUM, DEN)
     rows = survey.where("slot is null").select("_id", "n", "node")
     grouped = cut(rows.join(labels, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")), "grouped")
     least = cut(grouped.where("c is not null").groupBy("c").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "least")
