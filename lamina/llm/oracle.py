@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import DRIFT, GRAM, LEAST_SCORE, PHRASES, STRETCH, TEMPLATES
 from .quality import HOST_LIMIT, MIN_WORDS, REPEAT_PERCENT
 
 _QUALITY = rf"""
@@ -105,7 +106,28 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN reach ON reach.a = d.rid LEFT JOIN d o
 GROUP BY d.rid, d.doc_id, n.n
 """
 
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_KNOWN = ", ".join(f"({i}, '{label}', {phrase}, '{text}')" for i, (label, text, phrase) in enumerate([*((a, b, True) for a, b in PHRASES), *((a, b, False) for a, b in TEMPLATES)]))
+_LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT rid, i, array_to_string(ws[i + 1:i + {GRAM}], ' ') AS g FROM (SELECT rid, ws, unnest(range(0, len(ws) - {GRAM - 1})) AS i FROM d WHERE len(ws) >= {GRAM})),
+t AS (SELECT t, label, phrase, {_WORDS.format("x")} AS ws FROM (VALUES {_KNOWN}) AS v(t, label, phrase, x)),
+tg AS (SELECT t, label, phrase, len(ws) - {GRAM - 1} AS total, o, array_to_string(ws[o + 1:o + {GRAM}], ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - {GRAM - 1})) AS o FROM t)),
+v AS (SELECT rid, t, label, phrase, total, i - o AS dg, count(*) AS n, min(i) AS low, max(i) AS high, list(o) AS offs FROM g JOIN tg USING (g) GROUP BY ALL),
+base AS (SELECT rid, count(*) AS n, min(dg) AS a, max(dg) AS b, list_distinct(list(label)) AS l FROM v WHERE phrase AND n = total GROUP BY rid),
+f AS (SELECT *, coalesce((dg - lag(dg) OVER (PARTITION BY rid, t ORDER BY dg) > {DRIFT})::INT, 1) AS far FROM v WHERE NOT phrase),
+s AS (SELECT *, sum(far) OVER (PARTITION BY rid, t ORDER BY dg) AS span FROM f),
+m AS (SELECT rid, label, total, len(list_distinct(flatten(list(offs)))) / total AS score, max(high) + {GRAM} - min(low) AS size FROM s GROUP BY rid, t, label, total, span),
+more AS (SELECT rid, list_distinct(list(label)) AS l, max(score) AS score FROM m WHERE score >= {LEAST_SCORE} AND size <= {STRETCH} * (total + {GRAM - 1}) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.b::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ','), '') AS labels,
+       greatest(CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END, coalesce(more.score, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)
+"""
+
 QUERIES: dict[str, str] = {
+    "op3_license_diagonals": _LICENSES,
     "op6_parity_jaccard": _JACCARD,
     "op9_prefix_decontamination": _DECONTAMINATION,
     "op8_warc_roundtrip": _WARC,
