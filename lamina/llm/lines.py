@@ -10,14 +10,16 @@ order of document and place stays.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import closed_components, meetings, similar_sets
+from .buckets import FOLDS, closed_components, meetings, parity_folds, similar_sets
 from .common import cut, sent
-from .kernels import mix, slices, span_hash
+from .kernels import Slice, mix, slices, span_hash
 
 SHINGLE = 5
 BANDS, ROWS = 16, 6
@@ -98,10 +100,18 @@ def _signed(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "sig long, node long, n int")
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
-    """The pairs of lines whose shingle sets are similar, computed from the whole lines."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    homes = lines.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("at"))
+@lru_cache(maxsize=2048)
+def line_set(raw: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes of one line."""
+    s = Slice(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    chars = np.flatnonzero((s.data & 0xC0) != 0x80)
+    h, _ = shingles(np.append(chars, len(raw)), s.prefix(), np.array([0]), np.array([len(chars)]))
+    return np.unique(h)
+
+
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
+    """(node, set, folds): the line behind each node, as bytes, and its parity sketch; read from one document that holds it."""
+    homes = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("at"))
     homes = cut(homes.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at._id").alias("_i"), F.col("at._h").alias("_g"), "nodes"), "homes")
 
     def run(batches):
@@ -111,15 +121,19 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str, ke
                 owner, _, name, first, last, chars, sums = long_lines(s, min_chars)
                 want = [set(asked[s.first + i].as_py()) for i in range(s.n)]
                 hit = np.array([j for j in range(len(name)) if int(name[j]) in want[owner[j]]], np.int64)
+                _, once = np.unique(name[hit], return_index=True)
+                hit = hit[once]
                 if len(hit):
+                    raw = [s.data[chars[first[i]] : chars[last[i]]].tobytes() for i in hit]
                     h, begins = shingles(chars, sums, first[hit], last[hit])
-                    sets = [np.unique(h[x:y]).tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.array(sets, pa.binary())], ["node", "set"])
+                    sets = [np.unique(h[x:y]) for x, y in zip(begins[:-1], begins[1:], strict=True)]
+                    folds = parity_folds(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets))
+                    yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), *folds], ["node", "n", "set", *FOLDS])
 
     rows = _keyed(docs, text, key)
     chosen = rows.join(sent(homes), rows["_id"].eqNullSafe(homes["_i"]) & (rows["_h"] == homes["_g"]))
-    sets = cut(chosen.select("_text", "nodes").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets")
-    return similar_sets(pairs, sets, NUM, DEN)
+    schema = "node long, n int, set binary, " + ", ".join(f"{f} long" for f in FOLDS)
+    return cut(chosen.select("_text", "nodes").mapInArrow(run, schema).dropDuplicates(["node"]), "texts")
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -131,7 +145,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_
     """
     lines = cut(_occurrences(docs, text, key, min_chars), "lines")
     members = cut(meetings(_signed(docs, text, min_chars)), "members")
-    labels = closed_components(members, lambda pairs: _verified(docs, lines, pairs, text, key, min_chars), NUM, DEN)
+    texts = _texts(docs, lines, members.select("node").distinct(), text, key, min_chars)
+    members = cut(members.drop("n").join(texts.select("node", "n"), "node"), "members")
+    labels = closed_components(members, lambda pairs: similar_sets(pairs, texts, NUM, DEN, line_set), texts.select("node", *FOLDS), NUM, DEN)
     placed = cut(lines.join(labels, "node", "left").select("_id", "_h", "line", F.coalesce("component", "node").alias("c")), "placed")
     place = F.struct("_id", "_h", "line")
     firsts = placed.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c", "first")
