@@ -137,6 +137,13 @@ def _labels(links: DataFrame) -> DataFrame:
     return cut(connected_components(links), "components")
 
 
+def possible(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity folds leave a similarity of num / den; ``sketched``: node, n, FOLDS."""
+    side = lambda x: sketched.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f).alias(f"{x}{f}") for f in FOLDS])
+    differ = " + ".join(f"bit_count(a{f} ^ b{f})" for f in FOLDS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(f"({differ}) * {den + num} <= (na + nb) * {den - num}").select("a", "b")
+
+
 def hashes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 

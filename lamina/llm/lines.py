@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import FOLDS, closed_components, meetings, parity_folds, similar_sets
+from .buckets import FOLDS, closed_components, meetings, parity_folds, possible, similar_sets
 from .common import cut, sent
 from .kernels import Slice, mix, slices, span_hash
 
@@ -147,7 +147,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_
     members = cut(meetings(_signed(docs, text, min_chars)), "members")
     texts = _texts(docs, lines, members.select("node").distinct(), text, key, min_chars)
     members = cut(members.drop("n").join(texts.select("node", "n"), "node"), "members")
-    labels = closed_components(members, lambda pairs: similar_sets(pairs, texts, NUM, DEN, line_set), texts.select("node", *FOLDS), NUM, DEN)
+    labels = closed_components(members, lambda pairs: similar_sets(possible(pairs, texts, NUM, DEN), texts, NUM, DEN, line_set), texts.select("node", *FOLDS), NUM, DEN)
     placed = cut(lines.join(labels, "node", "left").select("_id", "_h", "line", F.coalesce("component", "node").alias("c")), "placed")
     place = F.struct("_id", "_h", "line")
     firsts = placed.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c", "first")
