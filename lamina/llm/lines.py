@@ -5,7 +5,8 @@ bands of 6: lines of similarity 0.8 share a band with probability 0.992, of 0.85
 0.9995, and lines that have little in common next to never, so bands stay small.  Lines
 that share a band are verified by the exact Jaccard similarity of their shingle sets,
 links are closed by a distributed union-find, and of each component the first line in
-order of document and place stays.
+order of document and place stays.  Lines too short for a shingle are repeats where they
+are equal; of these, blank ones separate paragraphs and stay.
 """
 
 from __future__ import annotations
@@ -19,25 +20,26 @@ from pyspark.sql import functions as F
 
 from .buckets import FOLDS, closed_components, meetings, parity_folds, possible, similar_sets
 from .common import cut, sent
-from .kernels import Slice, mix, slices, span_hash
+from .kernels import SPACE, Slice, mix, slices, span_hash
 
 SHINGLE = 5
 BANDS, ROWS = 16, 6
 NUM, DEN = 80, 100
-#: Shorter lines, in characters, are left alone: they are speech and headings, not boilerplate.
-MIN_CHARS = 24
+#: Shorter lines, in characters, have no shingle: only equal ones are repeats.
+MIN_CHARS = SHINGLE
 _rng = np.random.default_rng(96)
 _SCALE = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
 
-def long_lines(s, min_chars: int = MIN_CHARS):
-    """Of the lines of ``min_chars`` or more: owner, number in the text, name (equal for equal lines), first and last character, character starts, prefix sums."""
+def text_lines(s, least: int = 1):
+    """Of the lines of ``least`` characters or more, but blank ones too short for a shingle: owner, number in the text, name (equal for equal lines), first and last character, character starts, prefix sums."""
     starts, ends, owner = s.lines()
     number = np.arange(len(starts)) - np.searchsorted(owner, owner)
     chars = np.flatnonzero((s.data & 0xC0) != 0x80)
     first, last = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
-    keep = last - first >= max(min_chars, SHINGLE)
+    filled = np.concatenate([[0], np.cumsum(~SPACE[s.data])])
+    keep = (last - first >= least) & ((last - first >= MIN_CHARS) | (filled[ends] > filled[starts]))
     sums = s.prefix()
     name = span_hash(sums, starts[keep], ends[keep]).view(np.int64)
     return owner[keep], number[keep], name, first[keep], last[keep], np.append(chars, len(s.data)), sums
@@ -63,13 +65,13 @@ def bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
-def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
-    """(_id, _h, line, node): every line of ``min_chars`` or more, node naming its text."""
+def _occurrences(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(_id, _h, line, node): every line but short blank ones, node naming its text."""
 
     def run(batches):
         for b in batches:
             for s in slices(b.column(2)):
-                owner, number, name, *_ = long_lines(s, min_chars)
+                owner, number, name, *_ = text_lines(s)
                 at = pa.array(s.first + owner)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(name)], ["_id", "_h", "line", "node"])
 
@@ -81,14 +83,14 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
 
 
-def _signed(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
-    """(sig, node, n): the band keys of every line, once for each batch that holds it."""
+def _signed(docs: DataFrame, text: str) -> DataFrame:
+    """(sig, node, n): the band keys of every line with a shingle, once for each batch that holds it."""
 
     def run(batches):
         for b in batches:
             done: set[int] = set()
             for s in slices(b.column(0)):
-                _, _, name, first, last, chars, sums = long_lines(s, min_chars)
+                _, _, name, first, last, chars, sums = text_lines(s, MIN_CHARS)
                 _, once = np.unique(name, return_index=True)
                 once = np.array([i for i in once if name[i] not in done], np.int64)
                 done.update(name[once].tolist())
@@ -109,7 +111,7 @@ def line_set(raw: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     """(node, set, folds): the line behind each node, as bytes, and its parity sketch; read from one document that holds it."""
     homes = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("at"))
     homes = cut(homes.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at._id").alias("_i"), F.col("at._h").alias("_g"), "nodes"), "homes")
@@ -118,7 +120,7 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key:
         for b in batches:
             asked = b.column(1)
             for s in slices(b.column(0)):
-                owner, _, name, first, last, chars, sums = long_lines(s, min_chars)
+                owner, _, name, first, last, chars, sums = text_lines(s, MIN_CHARS)
                 want = [set(asked[s.first + i].as_py()) for i in range(s.n)]
                 hit = np.array([j for j in range(len(name)) if int(name[j]) in want[owner[j]]], np.int64)
                 _, once = np.unique(name[hit], return_index=True)
@@ -136,16 +138,16 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key:
     return cut(chosen.select("_text", "nodes").mapInArrow(run, schema).dropDuplicates(["node"]), "texts")
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(_id, _h, dropped): for the documents that lose lines, the numbers (from 0) of those lines.
 
     ``_h`` is xxhash64 of the text: rows with equal key and text are one document and lose
     the same lines.  The line that stays is the first by key, text hash and number; a null
     key comes first.
     """
-    lines = cut(_occurrences(docs, text, key, min_chars), "lines")
-    members = cut(meetings(_signed(docs, text, min_chars)), "members")
-    texts = _texts(docs, lines, members.select("node").distinct(), text, key, min_chars)
+    lines = cut(_occurrences(docs, text, key), "lines")
+    members = cut(meetings(_signed(docs, text)), "members")
+    texts = _texts(docs, lines, members.select("node").distinct(), text, key)
     members = cut(members.drop("n").join(texts.select("node", "n"), "node"), "members")
     labels = closed_components(members, lambda pairs: similar_sets(possible(pairs, texts, NUM, DEN), texts, NUM, DEN, line_set), texts.select("node", *FOLDS), NUM, DEN)
     placed = cut(lines.join(labels, "node", "left").select("_id", "_h", "line", F.coalesce("component", "node").alias("c")), "placed")
@@ -156,14 +158,14 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_
     return gone.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with the text freed of fuzzy repeats of lines, and n_lines, n_dropped.
 
     Null texts stay null and have no lines; a text without \\n is one line; rows repeated in
     full are treated alike; an empty table gives no rows.  Columns n_lines and n_dropped of
     ``docs`` are replaced.
     """
-    gone = cut(dropped_lines(docs, text, key, min_chars), "dropped")
+    gone = cut(dropped_lines(docs, text, key), "dropped")
     rows = docs.withColumn("_h", F.xxhash64(text))
     gone = gone.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "dropped")
     joined = rows.join(sent(gone), rows[key].eqNullSafe(gone["_i"]) & (rows["_h"] == gone["_g"]), "left").drop("_i", "_g", "_h")

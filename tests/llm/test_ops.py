@@ -192,6 +192,13 @@ def test_lines_against_brute_force(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    near = "Terms of use, 2024"
+    rows = [(1, f"Menu\nHome page\n\n  \n{near}\nab", "en", "s", 0), (2, f"Home page\nMenu\n\n  \n{near}5\nac\nab", "en", "s", 0), (3, "ÄÖ\nÄÖ\nÄÖÜ", "de", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: rows[0][1], 2: "\n  \nac", 3: "ÄÖ\nÄÖÜ"}
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     sequences = {}
