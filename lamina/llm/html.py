@@ -40,6 +40,7 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style",
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
 
 
 @dataclass
@@ -49,9 +50,20 @@ class Block:
     linked: float  # share of characters inside links
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+class Buckets(dict):
+    """The bucket of each word, remembered for 200,000 words at most."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.n
+        return found
+
+
+_path_bucket, _word_bucket = Buckets(PATH_BUCKETS), Buckets(WORD_BUCKETS)
 
 
 def _labels(tag: str, attributes: str) -> tuple[str, ...]:
@@ -59,7 +71,7 @@ def _labels(tag: str, attributes: str) -> tuple[str, ...]:
     if attributes:
         for name, a, b, c in _ATTR.findall(attributes):
             found += [f"{x.lower()}" if name.lower() != "role" else f"role-{x.lower()}" for x in _PART.findall(a or b or c)]
-    return tuple(f"{tag}" if i == 0 else f".{x}" for i, x in enumerate(found[:12]))
+    return tuple(f"{tag}" if i == 0 else f".{x}" for i, x in enumerate(found))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -159,8 +171,8 @@ def blocks_of(page: str) -> list[Block]:
 
 def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
     """Tag-path buckets, word buckets and shapes of a page's blocks."""
-    paths = [[_bucket(f"{d}:{x}" if d >= 0 else x, PATH_BUCKETS) for x, d in _spread(b.path)] for b in blocks]
-    words = [[_bucket(w, WORD_BUCKETS) for w in re.findall(r"\w+", b.text.lower()[:4000])[:60]] for b in blocks]
+    paths = [[_path_bucket[f"{d}:{x}" if d >= 0 else x] for x, d in _spread(b.path)] for b in blocks]
+    words = [[_word_bucket[w] for w in _WORD.findall(b.text.lower())] for b in blocks]
     shapes = np.zeros((len(blocks), SHAPES), np.float32)
     for i, b in enumerate(blocks):
         n, tokens = len(b.text), b.text.count(" ") + 1

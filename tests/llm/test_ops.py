@@ -328,6 +328,13 @@ def test_html_extraction(spark):
     assert got[2]["text"] == got[3]["text"] == "" and html.extract(df).count() == 4 and html.extract(df.limit(0)).count() == 0
 
 
+def test_html_features_read_whole_blocks():
+    late = [html.features([html.Block(" ".join(["word"] * 3000 + [w]), ("p",), 0.0)])[1][0] for w in ("advertisement", "cookies")]
+    assert [len(x) for x in late] == [3001, 3001] and late[0] != late[1]
+    utility = " ".join("abcdefghijklmnop")
+    assert ".comments" in html.blocks_of(f'<div class="{utility} comments">text</div>')[0].path
+
+
 def test_html_labeller_on_held_out_pages():
     from lamina.llm.html_training import accuracy
 
