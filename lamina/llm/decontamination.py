@@ -23,10 +23,10 @@ SHINGLE = 3
 
 
 def windows_of(items: DataFrame, window: int, shingle: int, text: str, item: str) -> DataFrame:
-    """(item, at, length, k, off, gram): every shingle of every window of every item with words."""
+    """(row, item, at, length, k, off, gram): every shingle of every window of every item with words; ``row`` numbers the rows of ``items``."""
     plan = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), w.alias("w")))
-    rows = items.select(F.col(item).alias("item"), plan.alias("p")).where("p.n > 0")
-    rows = rows.select("item", F.least(F.lit(window), F.col("p.n")).alias("length"), F.col("p.n").alias("n"), F.col("p.w").alias("w"))
+    rows = items.select(F.monotonically_increasing_id().alias("row"), F.col(item).alias("item"), plan.alias("p")).where("p.n > 0")
+    rows = rows.select("row", "item", F.least(F.lit(window), F.col("p.n")).alias("length"), F.col("p.n").alias("n"), F.col("p.w").alias("w"))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("length"))))
     rows = rows.withColumn("part", F.slice("w", F.col("at") + 1, F.col("length"))).drop("w", "n")
     sizes = range(1, shingle + 1)
@@ -34,22 +34,23 @@ def windows_of(items: DataFrame, window: int, shingle: int, text: str, item: str
     for k in sizes:
         grams = grams.when((F.col("length") == k) if k < shingle else (F.col("length") >= k), grams_of(F.col("part"), k))
     rows = rows.withColumn("k", F.least(F.lit(shingle), F.col("length"))).withColumn("g", grams)
-    return rows.select("item", "at", "length", "k", F.posexplode("g").alias("off", "gram"))
+    return rows.select("row", "item", "at", "length", "k", F.posexplode("g").alias("off", "gram"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``.
 
     Null and empty texts have no words and are clean; repeated rows are judged each; repeated
-    and tied items count once by id; items without words have no window; without items or
+    and tied items count once by id, each text of a tied id is looked for, a null id counts as
+    one item without a name; items without words have no window; without items or
     documents nothing is hit.  Other columns of either table are not read.
     """
     shingles = cut(windows_of(items, window, shingle, item_text, item), "windows")
     # windows with equal words are looked for once; their items follow
-    texts = shingles.groupBy("item", "at", "length", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "gram"))), lambda x: x["gram"]), "\n").alias("same"))
+    texts = shingles.groupBy("row", "at", "length", "k").agg(F.first("item").alias("item"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "gram"))), lambda x: x["gram"]), "\n").alias("same"))
     ids = cut(texts.withColumn("window", F.xxhash64("same", F.lit(7)).bitwiseXOR(F.xxhash64("length", "same"))), "ids")
     owners = ids.select("window", "item").distinct()
-    shingles = cut(shingles.join(ids, ["item", "at", "length", "k"]).select("window", "length", "k", "off", "gram").distinct(), "shingles")
+    shingles = cut(shingles.join(ids.drop("item"), ["row", "at", "length", "k"]).select("window", "length", "k", "off", "gram").distinct(), "shingles")
     vocabulary = cut(shingles.select("k", "gram").distinct().withColumn("g", F.xxhash64("k", "gram")), "vocabulary")
     sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # at most `shingle` rows
     every = exploded(docs, sizes, text, key)

@@ -292,6 +292,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, warc.write_warc(df.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_decontamination_of_null_and_tied_items(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma delta"), (7, "one two three four five"), (7, "red green blue nowhere"), (7, "six seven eight nine")], "item_id long, text string")
+    rows = [(1, "so alpha beta gamma delta it is"), (2, "one two three four five"), (3, "the six seven eight nine"), (4, "red green blue"), (5, "alpha beta gamma delta one two three four five")]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: (4, 1, True), 2: (5, 1, True), 3: (4, 1, True), 4: (0, 0, False), 5: (9, 2, True)}
+
+
 def test_decontamination_against_brute_force(spark, docs, empty):
     r, words = random.Random(8), vocabulary(7, 40)
     items = [(i, prose(r, words, r.choice([1, 2, 4, 9, 10, 25]))) for i in range(15)] + [(20, None), (21, ""), (22, "the, THE the")]
