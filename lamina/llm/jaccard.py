@@ -104,13 +104,14 @@ def blocks(offsets: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple[np.
     at = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[rows], n)
     token = h[at]
     part = (mix(token + np.uint64(0x51)) % parts[unit].astype(np.uint64)).astype(np.int64)
-    key = (unit << 20) | part
+    width = int(parts.max()).bit_length()
+    key = (unit << width) | part
     order = np.argsort(key, kind="stable")
     key, token = key[order], token[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     parity = np.bitwise_xor.reduceat(mix(token), first)
     rare = np.minimum.reduceat(weights[(token % np.uint64(SLOTS)).astype(np.int64)], first)
-    unit, part = key[first] >> 20, key[first] & ((1 << 20) - 1)
+    unit, part = key[first] >> width, key[first] & ((1 << width) - 1)
     sig = mix(parity ^ mix((group[unit].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)))
     order = np.lexsort((sig, rare, unit))
     unit, sig = unit[order], sig[order]

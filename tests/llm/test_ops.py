@@ -256,6 +256,27 @@ def test_jaccard_against_brute_force(docs, empty):
     assert jaccard.near_components(empty).count() == 0
 
 
+def test_jaccard_of_a_very_long_text(spark):
+    words = [str(i) for i in range(1_340_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "x"])), (3, "a short text of some few words")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1_339_996, 1), 2: (1_339_988, 1), 3: (3, 3)}
+
+
+def test_blocks_of_a_very_large_set():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**63, 1_100_000).astype(np.uint64))
+    weights = np.zeros(jaccard.SLOTS, np.int8)
+    n = len(h)
+    _, sig = jaccard.blocks(np.array([0, n]), h, weights)
+    top = 2**21 * 100 // 80 + 1
+    part = (jaccard.mix(h + np.uint64(0x51)) % np.uint64(3 * (int(jaccard.most_differing(top)) + 1))).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.diff(part[order], prepend=-1))
+    parity = np.bitwise_xor.reduceat(jaccard.mix(h[order]), first)
+    want = jaccard.mix(parity ^ jaccard.mix(np.uint64(20 << 32) + part[order][first].astype(np.uint64)))
+    assert np.isin(np.sort(want)[: int(jaccard.most_differing(np.int64(n))) + 1], sig).all()
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(2)
     for n in (3, 50, 700):
