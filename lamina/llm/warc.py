@@ -29,7 +29,6 @@ READ_BYTES = 1 << 20
 #: Byte ranges are dealt to at most so many tasks; a task may read several.
 MOST_TASKS = 20_000
 VERSION = b"WARC/1."
-HEADER_LIMIT = 1 << 16
 RECORDS = "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, file string, position long"
 
 
@@ -133,7 +132,7 @@ class Source:
 
 def _inflate(source: Source, at: int, header_only: bool) -> tuple[bytes, int] | None:
     """The member at ``at`` (or its beginning) and where it ends; None if it isn't a gzip member."""
-    inflater, out, pos = zlib.decompressobj(31), bytearray(), at
+    inflater, out, pos, seen = zlib.decompressobj(31), bytearray(), at, 0
     while True:
         if pos >= source.end and not source.more():
             return None  # the file ends inside the member
@@ -143,8 +142,9 @@ def _inflate(source: Source, at: int, header_only: bool) -> tuple[bytes, int] |
         except zlib.error:
             return None
         pos += len(chunk) - len(inflater.unused_data)
-        if header_only and (not out.startswith(VERSION[: len(out)]) or b"\r\n\r\n" in out or len(out) > HEADER_LIMIT):
+        if header_only and (not out.startswith(VERSION[: len(out)]) or out.find(b"\r\n\r\n", max(0, seen - 3)) >= 0):
             return bytes(out), pos
+        seen = len(out)
         if inflater.eof:
             return bytes(out), pos
 
@@ -226,4 +226,8 @@ def read_warc(spark: SparkSession, files: DataFrame | str, split: int = SPLIT_BY
 def op8_warc_roundtrip(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     files = write_warc(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return read_warc(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = cut(read_warc(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "read")
+    written, read = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if read != written:
+        raise ValueError(f"{written} records written, {read} read")
+    return found

@@ -313,6 +313,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, warc.write_warc(df.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_of_a_long_url(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    rows = [(1, "data:" + "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_") for _ in range(300_000)), "<p>one</p>"), (2, "http://x", "<p>two</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.read_warc(spark, warc.write_warc(spark.read.parquet(f"{tmp_path}/pages.parquet"), f"file://{tmp_path}/w"), 5000).collect()
+    assert sorted((x["page_id"], x["url"]) for x in got) == [x[:2] for x in rows]
+    assert warc.op8_warc_roundtrip(spark, str(tmp_path)).count() == 2
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **k: read(*a, **k).where("page_id <> 2"))
+    with pytest.raises(ValueError, match="2 records written, 1 read"):
+        warc.op8_warc_roundtrip(spark, str(tmp_path))
+
+
 def test_decontamination_of_null_and_tied_items(spark):
     items = spark.createDataFrame([(None, "alpha beta gamma delta"), (7, "one two three four five"), (7, "red green blue nowhere"), (7, "six seven eight nine")], "item_id long, text string")
     rows = [(1, "so alpha beta gamma delta it is"), (2, "one two three four five"), (3, "the six seven eight nine"), (4, "red green blue"), (5, "alpha beta gamma delta one two three four five")]
