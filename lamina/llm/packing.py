@@ -23,20 +23,22 @@ from .common import cut, with_rank
 SEQUENCE = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
+#: The added token that the vocabulary file declares.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Triples enumerated for each length.
 TRIPLES_PER_LENGTH = 6
 _encoders: dict[str, object] = {}
 
 
 def encoder(name: str = TOKENIZER):
-    """The byte-level BPE of a public vocabulary file; text that spells a special token is ordinary text."""
+    """The byte-level BPE of a public vocabulary file; ``encode(text, allowed_special="all")`` gives the ids of its declared tokenizer."""
     if name not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[name]
 
 
@@ -61,7 +63,7 @@ def pieces(docs: DataFrame, limit: int = SEQUENCE, text: str = "text", key: str
                 part = b.slice(at, 256)
                 rows, texts = [], part.column(1).to_pylist()
                 for i, t in enumerate(texts):
-                    ids = np.asarray([*bpe.encode_ordinary(t or ""), END_ID], "<u4")
+                    ids = np.asarray([*bpe.encode(t or "", allowed_special="all"), END_ID], "<u4")
                     starts = cut_points(len(ids), limit)
                     for p, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                         rows.append((i, p, s, e - s, zlib.crc32(ids[s:e].tobytes()), ids[s:e]))

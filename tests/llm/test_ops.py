@@ -228,6 +228,16 @@ def test_tokenizers_give_the_same_ids():
         assert t.encode(text, add_special_tokens=False).ids == packing.encoder().encode_ordinary(text)
 
 
+def test_added_token_has_its_own_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "é<|endoftext|>\n<|endoftext|", "plain"]
+    got = {r["doc_id"]: list(r["ids"]) for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).withColumnRenamed("_id", "doc_id").collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 def test_jaccard_against_brute_force(docs, empty):
     rows = docs.collect()
     sets = []
