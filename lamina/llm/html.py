@@ -27,8 +27,12 @@ BATCH_BLOCKS = 4000
 
 # Elements of HTML by their role in the layout of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head iframe svg math object canvas title".split())
+HIDDEN = frozenset("script style noscript template head iframe svg title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+INLINE |= MATH
+# Elements whose text counts as that of the element around them; the labeller sees their names only.
+TRANSPARENT = MATH | {"object", "canvas"}
 FORM = frozenset("form button select option textarea input fieldset".split())
 # Start tags that end an open paragraph, and what else an element of their kind ends.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -164,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, _labels(tag, m[3])))
+                stack.append((tag, _labels(tag, m[3])[tag in TRANSPARENT :]))
     flush()
     return out
 

@@ -386,6 +386,13 @@ def test_html_features_read_whole_blocks():
     assert ".comments" in html.blocks_of(f'<div class="{utility} comments">text</div>')[0].path
 
 
+def test_html_reads_formulas_and_fallback_text(spark):
+    prose = "The area of a circle grows with the square of its radius, as was known long ago"
+    page = f"<article><h1>Circles</h1><p>{prose}: <math><mi>A</mi><mo>=</mo><mi>π</mi><msup><mi>r</mi><mn>2</mn></msup></math> holds.</p><object data='x.swf'><param name='a'><p>{prose}, says the drawing.</p></object><canvas><p>{prose} too.</p></canvas></article>"
+    text = html.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert text == f"Circles\n\n{prose}: A=πr2 holds.\n\n{prose}, says the drawing.\n\n{prose} too."
+
+
 def test_html_labeller_on_held_out_pages():
     from lamina.llm.html_training import accuracy
 
