@@ -96,6 +96,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return labels.select("node", F.col("top").alias("component"))
 
 
+def identity(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells a document apart from all but full repeats: key and text hash; null keys sort last."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

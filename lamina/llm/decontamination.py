@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, let, sent
+from .common import cut, identity, let, sent
 from .grams import exploded, grams_of, words
 
 WINDOW = 10
@@ -89,8 +89,9 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without any window of a benchmark item; repeated rows stay or go together."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = cut(contaminated(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(sent(bad), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    rows = docs.withColumn("_key", identity())
+    bad = cut(contaminated(rows, items, key="_key").where("contaminated").select("_key").distinct(), "contaminated")
+    return rows.join(sent(bad), "_key", "left_anti").select(*docs.columns)
 
 
 def op9_prefix_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import FOLDS, closed_components, meetings, parity_folds, similar_sets
-from .common import cut, sent
+from .common import cut, identity, sent
 from .kernels import LOWER, mix, run_hash, slices, span_hash
 
 SHINGLE = 5
@@ -257,9 +257,20 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays."""
-    gone = cut(near_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(sent(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    """Pipeline stage: of each component one row stays, that of the smallest id.
+
+    A null id is larger than all others; of one id the smallest text hash stays, and of rows
+    with equal id and text one.  Rows without words all stay.
+    """
+    rows = docs.withColumn("_key", identity())
+    found = cut(near_components(rows, key="_key").where("n_shingles > 0"), "identities")
+    gone = cut(found.where("component_id <> _key").select("_key").distinct(), "near")
+    twice = cut(found.where("component_id = _key").groupBy("_key").count().where("count > 1").select("_key"), "repeats")
+    kept = rows.join(sent(gone), "_key", "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(sent(twice), "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(sent(twice), "_key", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op6_parity_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -414,6 +414,17 @@ def test_html_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 2e-3
 
 
+def test_stages_remove_by_row_identity(spark, tmp_path):
+    r, words = random.Random(14), vocabulary(14)
+    a, b, c, d, e, passage = (prose(r, words, 40) for _ in range(6))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, f"{d} {passage}"), (None, d), (None, e), (None, e), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    stay = lambda df: sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str)
+    assert stay(jaccard.jaccard_stage(spark, docs, "")) == sorted([(1, a), (2, b), (None, c), (None, f"{d} {passage}"), (None, d), (None, e), (5, ""), (5, "")], key=str)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert stay(decontamination.decontamination_stage(spark, docs, str(tmp_path))) == sorted([x for x in rows if passage not in x[1]], key=str)
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
