@@ -2,9 +2,9 @@
 
 Every node is first verified against one hub of its keys, then against one drawn leader; the
 links found are closed to components.  Only then are pairs of a key made, of nodes still in
-different components whose sizes and parity sketches don't rule them out, and verified.
-All pairs of a key are so in one component, ruled out by a proven bound, or compared; and a
-group of alike nodes costs about as many pairs as it has members.
+different components whose sizes and parity sketches don't rule them out, each at the first
+key that it shares, and verified on whole sets.  All pairs of a key are so in one component,
+ruled out by a proven bound, or compared.
 """
 
 from __future__ import annotations
@@ -19,64 +19,104 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 from .kernels import mix
 
-#: Columns of a parity sketch, 64 positions each.
+#: Columns of the short parity sketch, 64 positions each; sets of more than WIDE elements have a wide one too.
 FOLDS = [f"f{i}" for i in range(8)]
+WIDE = 256
+#: Keys of a node kept to tell the first one a pair shares.
+FIRST_KEYS = 16
 
 
 def _meet(batches):
-    # rows come sorted by sig, n, node; of the block at hand only its first and last rows are held
+    # rows come sorted by sig, node; of the last key and row of a batch only their values are held
     last_sig = last_node = None
-    first = (0, 0)
-    alone = False
+    alone = False  # whether the last key has one node so far, which has not been told
     for b in batches:
-        sig, node, n = (np.asarray(c) for c in b.columns)
+        sig, node = (np.asarray(c) for c in b.columns)
         if not len(sig):
             continue
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         new[0] = last_sig is None or sig[0] != last_sig
-        repeat = np.zeros(len(sig), bool)
-        repeat[1:] = ~new[1:] & (node[1:] == node[:-1])
-        repeat[0] = not new[0] and node[0] == last_node
-        keep = ~repeat
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1  # -1: goes on from the batch before
-        lead_node = np.where(run >= 0, node[starts[np.maximum(run, 0)]] if len(starts) else 0, first[0])
-        member = keep & (node != lead_node)
-        out = [(sig[member], node[member], n[member], lead_node[member])]
-        # a block's first row is told once the block has a second set
-        has = np.zeros(len(starts), bool)
-        has[run[member & (run >= 0)]] = True
-        out.append((sig[starts[has]], node[starts[has]], n[starts[has]], node[starts[has]]))
-        if alone and (member & (run < 0)).any():
-            out.append((np.array([last_sig]), np.array([first[0]]), np.array([first[1]], n.dtype), np.array([first[0]])))
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = new[1:] | (node[1:] != node[:-1])
+        fresh[0] = new[0] or node[0] != last_node
+        key = np.cumsum(new)  # 0: goes on from the batch before
+        count = np.bincount(key[fresh], minlength=int(key[-1]) + 1)
+        met = count > 1
+        met[0] = count[0] > 0
+        told = fresh & met[key]
+        out_sig, out_node = sig[told], node[told]
+        if alone and count[0]:
+            out_sig, out_node = np.append(out_sig, last_sig), np.append(out_node, last_node)
+        if new.any():
+            alone = count[-1] == 1
+        elif count[0]:
             alone = False
         last_sig, last_node = sig[-1], node[-1]
-        if len(starts):
-            first, alone = (node[starts[-1]], n[starts[-1]]), not has[-1]
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int64))], ["sig", "node", "n", "leader"])
+        if len(out_sig):
+            yield pa.RecordBatch.from_arrays([pa.array(out_sig.astype(np.int64)), pa.array(out_node.astype(np.int64))], ["sig", "node"])
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(sig, node, n, leader) of the keys ``sig`` that two or more nodes share; ``leader``: the key's first by size.
+    """(sig, node) of the keys ``sig`` that two or more nodes share.
 
-    ``rows``: sig, node, n; repeats are fine.  A partition is streamed in order of the key,
+    ``rows``: sig, node; repeats are fine.  A partition is streamed in order of the key,
     so memory holds a batch whatever the size of a key.
     """
-    dealt = rows.select("sig", "node", "n").repartition("sig").sortWithinPartitions("sig", "n", "node")
-    return dealt.mapInArrow(_meet, "sig long, node long, n int, leader long")
+    dealt = rows.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(_meet, "sig long, node long")
 
 
 def parity_folds(owner: np.ndarray, h: np.ndarray, n: int) -> list[pa.Array]:
     """A 512-bit parity sketch of each of n sets, as the FOLDS columns of longs; ``h``: distinct hashes of set ``owner``."""
-    bits = np.zeros(n * 64 * len(FOLDS), np.uint8)
-    np.bitwise_xor.at(bits, owner * 64 * len(FOLDS) + (mix(h ^ np.uint64(0x33)) & np.uint64(64 * len(FOLDS) - 1)).astype(np.int64), 1)
-    words = np.packbits(bits, bitorder="little").view(np.int64).reshape(n, len(FOLDS))
+    size = 64 * len(FOLDS)
+    flips = np.bincount(owner * size + (mix(h ^ np.uint64(0x33)) & np.uint64(size - 1)).astype(np.int64), minlength=n * size)
+    words = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, len(FOLDS))
     return [pa.array(words[:, i].copy()) for i in range(len(FOLDS))]
 
 
+def wide_sketches(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity sketches of 2 to 4 positions an element, a power of two in all, as arrays of longs; null up to WIDE elements.
+
+    A position is the low bits of a hash, so the halves of a sketch XORed are the sketch of
+    half its size.
+    """
+    size = np.where(n > WIDE, 1 << np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64), 0)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    big = size[owner] > 0
+    at = begins[owner[big]] + (mix(h[big] ^ np.uint64(0x77)) & (size[owner[big]] - 1).astype(np.uint64)).astype(np.int64)
+    words = np.packbits((np.bincount(at, minlength=begins[-1]) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((begins // 64).astype(np.int32)), pa.array(words), mask=pa.array(size == 0))
+
+
+#: Columns (name, type) of a sketched set besides its node.
+SKETCH = [("n", "long"), *((f, "long") for f in FOLDS), ("wide", "array<long>")]
+
+
+def sketched(begins: np.ndarray, h: np.ndarray) -> list[pa.Array]:
+    """The SKETCH columns of sets given as sorted distinct hashes one after another."""
+    n = np.diff(begins)
+    owner = np.repeat(np.arange(len(n)), n)
+    return [pa.array(n), *parity_folds(owner, h, len(n)), wide_sketches(owner, h, n)]
+
+
+def _side(x: str) -> list:
+    return [F.col(c).alias(f"{x}{c}") for c, _ in SKETCH]
+
+
+def _may_link(num: int, den: int) -> str:
+    """SQL: whether sizes and sketches of sides a and b leave a similarity of num / den.
+
+    Sketches differ in no more positions than sets in elements, and those of similar sets
+    are at most (size a + size b) (den - num) / (den + num).
+    """
+    most = f"(an + bn) * {den - num}"
+    short = " + ".join(f"bit_count(a{f} ^ b{f})" for f in FOLDS)
+    folded = lambda x, y: f"if(size({x}) > size({y}), transform(sequence(1, size({y})), i -> get({x}, i - 1) ^ get({x}, i - 1 + size({y}))), {x})"
+    wide = f"aggregate(zip_with({folded('awide', 'bwide')}, {folded('bwide', 'awide')}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
+    return f"least(an, bn) * {den} >= greatest(an, bn) * {num} and ({short}) * {den + num} <= {most} and if(awide is null or bwide is null, true, {wide} * {den + num} <= {most})"
+
+
 def _closest(rows: DataFrame, lead: DataFrame) -> DataFrame:
     """(a, b): each node with the leader of most of its keys."""
     shared = rows.select("sig", "node").join(lead, "sig").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
@@ -86,44 +126,40 @@ def _closest(rows: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, n, c) of the keys whose nodes are in two components or more."""
-    placed = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
+    """(sig, node, c) of the keys whose nodes are in two components or more."""
+    placed = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     return cut(placed.join(mixed, "sig", "left_semi"), "open")
 
 
-def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], folds: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) of all nodes with a link, from the cut table ``members`` of ``meetings``.
+def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sides: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of all nodes with a link, from the cut table ``members`` (sig, node) of ``meetings``.
 
-    ``verify`` keeps the pairs (a, b) that are linked; ``folds``: node and its parity_folds.
+    ``verify`` keeps the pairs (a, b) that are linked; ``sides``: a cut of node and SKETCH.
     First each node is verified against a hub: of each key the node that meets most others,
     of a node's hubs the one it shares most keys with.  A near copy meets its original in
     more keys than it meets other copies, so groups of copies close here.  Then, among keys
-    still mixed, against a leader drawn by hash.  Last all pairs of a key whose ends are in
-    different components, if sizes and sketches leave them a similarity of num / den.
+    still mixed, against a leader drawn by hash.  Last come the pairs of a key whose ends
+    are still in different components.
     """
+    members = members.select("sig", "node")
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    fame = members.select("sig", "node").join(sizes, "sig").groupBy("node").agg(F.sum("m").alias("fame"))
-    hubs = members.select("sig", "node").join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node"))["node"].alias("leader"))
+    fame = members.join(sizes, "sig").groupBy("node").agg(F.sum("m").alias("fame"))
+    hubs = members.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node"))["node"].alias("leader"))
+    check = lambda pairs: cut(verify(cut(possible(pairs, sides, num, den), "possible")), "links")
     tried = _closest(members, hubs)
-    links = cut(verify(tried), "links")
+    links = check(tried)
     labels = _labels(links)
     rest = _mixed(members, labels)
     drawn = rest.groupBy("sig").agg(F.max(F.struct(F.xxhash64("node", F.lit(5)), F.col("node").alias("node")))["node"].alias("leader"))
     second = cut(_closest(rest, drawn).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = cut(verify(second), "links")
+    more = check(second)
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = _labels(links)
         rest = _mixed(rest.drop("c"), labels)
     tried = tried.unionByName(second)
-    sides = rest.join(folds, "node")
-    left = sides.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(f).alias(f"a{f}") for f in FOLDS])
-    right = sides.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[F.col(f).alias(f"b{f}") for f in FOLDS])
-    differ = " + ".join(f"bit_count(a{f} ^ b{f})" for f in FOLDS)
-    fits = f"a < b and ca <> cb and least(na, nb) * {den} >= greatest(na, nb) * {num} and ({differ}) * {den + num} <= (na + nb) * {den - num}"
-    across = left.join(right, "sig").where(fits).select("a", "b").distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "across")
+    across = cut(_pairs(rest, sides, num, den).join(tried, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = cut(verify(across), "links")
         if not more.isEmpty():
@@ -131,17 +167,26 @@ def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     return labels
 
 
+def _pairs(rest: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of nodes of one key in different components that sizes and sketches leave possible, each at the first key it shares."""
+    firsts = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_KEYS).alias("keys"))
+    about = rest.join(cut(firsts.join(sides, "node"), "sides"), "node")
+    left = about.select("sig", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("keys").alias("ka"), *_side("a"))
+    right = about.select("sig", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("keys").alias("kb"), *_side("b"))
+    fits = f"a < b and ca <> cb and {_may_link(num, den)} and coalesce(array_min(array_intersect(ka, kb)), sig) >= sig"
+    return left.join(right, "sig").where(fits).select("a", "b").distinct()
+
+
 def _labels(links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return cut(connected_components(links), "components")
 
 
-def possible(pairs: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity folds leave a similarity of num / den; ``sketched``: node, n, FOLDS."""
-    side = lambda x: sketched.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f).alias(f"{x}{f}") for f in FOLDS])
-    differ = " + ".join(f"bit_count(a{f} ^ b{f})" for f in FOLDS)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(f"({differ}) * {den + num} <= (na + nb) * {den - num}").select("a", "b")
+def possible(pairs: DataFrame, sides: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave a similarity of num / den; ``sides``: node and SKETCH."""
+    side = lambda x: sides.select(F.col("node").alias(x), *_side(x))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(num, den)).select("a", "b")
 
 
 def hashes(raw: bytes) -> np.ndarray:
@@ -161,7 +206,11 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, num: int, den: int, read: Ca
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = (read(batch.column(j)[i].as_py()) for j in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                common = int((y[at] == x).sum()) if len(y) else 0
                 good[i] = common * den >= (len(x) + len(y) - common) * num
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a small table is sent to every executor; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes, as zstd Parquet, up to which a written table is sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 _own_dir: list[str] = []
 
 
@@ -36,12 +36,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sent(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffled join.
+def sent(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` bytes; else as it is, for a shuffled join.
 
-    ``df`` must be cheap to count: a cut or a table.
+    ``df``: a cut or a table, perhaps filtered.  Its size is that of its files, read from the
+    plan's statistics without running a job, so wide rows and arrays count as what they weigh.
     """
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
 
 
 def with_rank(df: DataFrame, group: list[str], key: list[str], out: str, buckets: int = 256) -> DataFrame:

@@ -12,10 +12,9 @@ order for all documents, led by the count of the block's rarest shingle among sh
 frequent anywhere, so a passage that a third of all documents share is not joined on while
 there is anything else.  Candidates are verified on their whole shingle sets.
 
-Not all pairs of a block are made: each is verified against the block's first document, the
-links found are closed to components, and only pairs of a block that are still in different
-components are verified after that.  Equal sets are one node throughout.  So no link between
-different texts is lost, and a group of near copies costs as many pairs as it has members.
+Not all pairs of a block are made: see ``buckets``.  Equal sets are one node throughout.  So
+no link between different texts is lost, and a group of near copies costs as many pairs as
+it has members.
 """
 
 from __future__ import annotations
@@ -25,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import FOLDS, closed_components, meetings, parity_folds, similar_sets
+from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
 from .common import cut, identity, sent
-from .kernels import LOWER, mix, run_hash, slices, span_hash
+from .kernels import LOWER, distinct, mix, run_hash, slices, span_hash
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: intersection * DEN >= union * NUM.
@@ -61,12 +60,11 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE):
                     total = mix(total + word[begins[few] + j] + np.uint64(m))
                 extra.append((total, few))
         h, of = np.concatenate([h, *(x[0] for x in extra)]), np.concatenate([of, *(x[1] for x in extra)])
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of = h[new], of[new]
-        yield s.first, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=s.n))]).astype(np.int64), h
+        if len(extra) > 1:
+            order = np.argsort(of, kind="stable")
+            h, of = h[order], of[order]
+        h, begins = distinct(h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=s.n))]))
+        yield s.first, begins, h
 
 
 def nodes_of(offsets: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -121,55 +119,27 @@ def blocks(offsets: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple[np.
     return rows[unit[sent_]], sig[sent_]
 
 
-def sketches(offsets: np.ndarray, h: np.ndarray) -> list[bytes]:
-    """The parity sketch of each set as bits: 2 to 4 positions for each shingle, a power of two in all."""
-    n = np.diff(offsets)
-    size = np.where(n > 0, 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64)), 0)
-    begins = np.concatenate([[0], np.cumsum(size)])
-    bits = np.zeros(begins[-1], np.uint8)
-    owner = np.repeat(np.arange(len(n)), n)
-    at = begins[owner] + (mix(h ^ np.uint64(0x77)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
-    np.bitwise_xor.at(bits, at, 1)
-    packed, begins = np.packbits(bits, bitorder="little").tobytes(), begins // 8
-    return [packed[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference: the Hamming distance, the longer sketch folded to the shorter."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def _survey(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_id, n, node, sketch) for every row, and (slot, count) for shingles frequent in a task."""
+    """(_id, node, SKETCH) for every row, and (slot, count) for shingles frequent in a task."""
     kind = docs.schema[key].dataType.simpleString()
-    names = ["_id", "n", "node", "slot", "count", "sketch", *FOLDS]
+    names = ["_id", "node", "slot", "count", *(c for c, _ in SKETCH)]
 
     def run(batches):
-        counts, seen = np.zeros(SLOTS, np.int32), 0
+        counts, seen, id_type = np.zeros(SLOTS, np.int32), 0, None
         for b in batches:
-            ids, n, node, bits, folds = b.column(0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [[] for _ in FOLDS]
-            for _, offsets, h in shingle_sets(b.column(1)):
-                n.append(np.diff(offsets))
-                node.append(nodes_of(offsets, h))
-                bits += sketches(offsets, h)
-                for kept, new in zip(folds, parity_folds(np.repeat(np.arange(len(offsets) - 1), n[-1]), h, len(offsets) - 1), strict=True):
-                    kept.append(new)
+            id_type = b.column(0).type
+            for first, offsets, h in shingle_sets(b.column(1)):
+                size = len(offsets) - 1
                 np.add.at(counts, (h % np.uint64(SLOTS)).astype(np.int64), 1)
-                seen += len(offsets) - 1
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), none, none, pa.array(bits, pa.binary()), *(pa.concat_arrays([pa.array([], pa.int64()), *x]) for x in folds)], names)
-            id_type = ids.type
+                seen += size
+                none = pa.nulls(size, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, size), pa.array(nodes_of(offsets, h)), none, none, *sketched(offsets, h)], names)
         if seen:
             slot = np.flatnonzero(counts >= max(3, seen * FREQUENT))
             none = pa.nulls(len(slot), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), id_type), none, none, pa.array(slot), pa.array(counts[slot].astype(np.int64)), pa.nulls(len(slot), pa.binary()), *[none] * len(FOLDS)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), id_type), none, pa.array(slot), pa.array(counts[slot].astype(np.int64)), *[none] * (len(SKETCH) - 1), pa.nulls(len(slot), pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, n long, node long, slot long, count long, sketch binary, " + ", ".join(f"{f} long" for f in FOLDS))
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, node long, slot long, count long, " + ", ".join(f"{c} {t}" for c, t in SKETCH))
 
 
 def _weights(survey: DataFrame) -> np.ndarray:
@@ -181,14 +151,14 @@ def _weights(survey: DataFrame) -> np.ndarray:
 
 
 def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
-    """(sig, node, n, leader): the members of blocks that two or more sets share, with the block's first set."""
+    """(sig, node): the members of blocks that two or more sets share."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def emit(batches):
         for b in batches:
             done: set[int] = set()
             for _, offsets, h in shingle_sets(b.column(0)):
-                node, n = nodes_of(offsets, h), np.diff(offsets)
+                node = nodes_of(offsets, h)
                 _, once = np.unique(node, return_index=True)
                 fresh = np.zeros(len(node), bool)
                 fresh[[i for i in once if node[i] not in done]] = True
@@ -196,48 +166,33 @@ def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
                 row, sig = blocks(offsets, h, shared.value)
                 keep = fresh[row]
                 row, sig = row[keep], sig[keep]
-                for at in range(0, len(row), 1 << 18):
-                    part = row[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 18)].view(np.int64)), pa.array(node[part]), pa.array(n[part].astype(np.int32))], ["sig", "node", "n"])
-
-    made = docs.select(F.col(text).alias("_text")).mapInArrow(emit, "sig long, node long, n int")
-    return meetings(made)
+                for at in range(0, len(row), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 16)].view(np.int64)), pa.array(node[row[at : at + (1 << 16)]])], ["sig", "node"])
 
+    return meetings(docs.select(F.col(text).alias("_text")).mapInArrow(emit, "sig long, node long"))
 
-def _near_enough(survey: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that their sketches do not already prove too different."""
-    known = survey.where("slot is null and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
-    def run(batches):
-        for batch in batches:
-            na, nb = (np.asarray(batch.column(i)) for i in (2, 3))
-            most = (na + nb) * (DEN - NUM) // (DEN + NUM)
-            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            good = np.array([least_difference(p, q) <= m for p, q, m in zip(x, y, most, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _verified(docs: DataFrame, survey: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar: those their sketches allow, computed on whole sets."""
-    pairs = cut(_near_enough(survey, pairs), "near")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(survey.where("slot is null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_want")), "wanted")
+def _sets(docs: DataFrame, homes: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, set): the whole shingle sets of ``nodes``, each read from one document that has it."""
+    wanted = cut(homes.select("node", F.col("home").alias("_want")).join(nodes.distinct(), "node", "left_semi"), "wanted")
 
-    def sets(batches):
+    def read(batches):
         for b in batches:
-            asked = np.asarray(b.column(2))
-            for first, offsets, h in shingle_sets(b.column(1)):
+            asked = np.asarray(b.column(1))
+            for first, offsets, h in shingle_sets(b.column(0)):
                 node = nodes_of(offsets, h)
                 hit = np.flatnonzero(node == asked[first : first + len(node)])
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in hit], pa.binary())], ["node", "set"])
 
     chosen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sent(wanted), F.col("_id").eqNullSafe(F.col("_want")))
-    found = chosen.select("_id", "_text", "node").mapInArrow(sets, "node long, set binary")
-    found = cut(found, "sets")
-    return similar_sets(pairs, found, NUM, DEN)
+    # rows of one id and one set are one
+    return cut(chosen.select("_text", "node").mapInArrow(read, "node long, set binary").dropDuplicates(["node"]), "sets")
+
+
+def _verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return similar_sets(pairs, _sets(docs, homes, ends, text, key), NUM, DEN)
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -248,8 +203,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     survey = cut(_survey(docs, text, key), "survey")
     members = cut(_bucketed(docs, _weights(survey), text), "members")
-    folds = survey.where("slot is null and n > 0").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", *FOLDS)
-    labels = closed_components(members, lambda pairs: _verified(docs, survey, pairs, text, key), folds, NUM, DEN)
+    once = survey.where("slot is null and n > 0").groupBy("node").agg(F.min("_id").alias("home"), *[F.first(c).alias(c) for c, _ in SKETCH])
+    sides = cut(once.join(members.select("node").distinct(), "node", "left_semi"), "sides")
+    labels = closed_components(members, lambda pairs: _verified(docs, sides, pairs, text, key), sides.drop("home"), NUM, DEN)
     rows = survey.where("slot is null").select("_id", "n", "node")
     grouped = cut(rows.join(labels, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")), "grouped")
     least = cut(grouped.where("c is not null").groupBy("c").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "least")

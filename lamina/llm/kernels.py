@@ -2,7 +2,7 @@
 
 Texts stay in the UTF-8 buffer that Arrow hands over; words, lines and shingles are
 spans of that buffer, hashed together by one prefix sum.  Work goes through the buffer
-in slices of a few MB, so memory follows the slice (or the longest single text), never
+in slices of 256 KB, so memory follows the slice (or the longest single text), never
 the Arrow batch or the partition.
 
 Span hash: with random 64-bit values T per byte and an odd base B, the prefix sums
@@ -18,7 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Bytes of a slice: its 64-bit arrays stay within a core's cache.
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,3 +140,13 @@ def text_hash(texts: pa.Array) -> np.ndarray:
     """One 64-bit hash for each whole text; null and empty are 0."""
     out = [span_hash(s.prefix(), s.offsets[:-1], s.offsets[1:]) for s in slices(texts)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def distinct(h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each segment of ``h``, and where each begins (one more at the end); sorts ``h`` in place."""
+    for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        h[x:y].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[begins[:-1][begins[:-1] < begins[1:]]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[begins]

@@ -1,8 +1,7 @@
 """Line deduplication by MinHash.
 
-Lines are sets of 5-character shingles.  Each distinct line gets 96 MinHash values in 16
-bands of 6: lines of similarity 0.8 share a band with probability 0.992, of 0.85 with
-0.9995, and lines that have little in common next to never, so bands stay small.  Lines
+Lines are sets of 5-character shingles.  Each distinct line gets 65 MinHash values in X: lines of similarity 0.8 share a band with probability 0.994, of 0.85 with
+0.9992, and lines that have little in common next to never, so bands stay small.  Lines
 that share a band are verified by the exact Jaccard similarity of their shingle sets,
 links are closed by a distributed union-find, and of each component the first line in
 order of document and place stays.  Lines too short for a shingle are repeats where they
@@ -18,31 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import FOLDS, closed_components, meetings, parity_folds, possible, similar_sets
-from .common import cut, sent
-from .kernels import SPACE, Slice, mix, slices, span_hash
+from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
+from .common import cut, let, sent
+from .kernels import Slice, distinct, mix, slices, span_hash
 
 SHINGLE = 5
 BANDS, ROWS = 16, 6
+#: Bytes of text signed at once: the 32-bit hashes of its shingles stay within a core's cache.
+SIGNED = 1 << 16
 NUM, DEN = 80, 100
 #: Shorter lines, in characters, have no shingle: only equal ones are repeats.
 MIN_CHARS = SHINGLE
 _rng = np.random.default_rng(96)
 _SCALE = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-
-
-def text_lines(s, least: int = 1):
-    """Of the lines of ``least`` characters or more, but blank ones too short for a shingle: owner, number in the text, name (equal for equal lines), first and last character, character starts, prefix sums."""
-    starts, ends, owner = s.lines()
-    number = np.arange(len(starts)) - np.searchsorted(owner, owner)
-    chars = np.flatnonzero((s.data & 0xC0) != 0x80)
-    first, last = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
-    filled = np.concatenate([[0], np.cumsum(~SPACE[s.data])])
-    keep = (last - first >= least) & ((last - first >= MIN_CHARS) | (filled[ends] > filled[starts]))
-    sums = s.prefix()
-    name = span_hash(sums, starts[keep], ends[keep]).view(np.int64)
-    return owner[keep], number[keep], name, first[keep], last[keep], np.append(chars, len(s.data)), sums
+_STEP = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(chars: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,49 +46,45 @@ def bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """BANDS band keys for each line, as an array of lines by bands."""
     low = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(begins) - 1, BANDS), np.uint64)
+    hashed = np.empty_like(low)
     for band in range(BANDS):
         key = np.full(len(begins) - 1, band + 1, np.uint64)
         for j in range(band * ROWS, band * ROWS + ROWS):
-            key = mix(key + np.minimum.reduceat(low * _SCALE[j] + _SHIFT[j], begins[:-1]).astype(np.uint64))
+            np.multiply(low, _SCALE[j], out=hashed)
+            np.add(hashed, _SHIFT[j], out=hashed)
+            key += np.minimum.reduceat(hashed, begins[:-1]) * _STEP[j]
         out[:, band] = key
-    return out
-
+    return mix(out)
 
-def _occurrences(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_id, _h, line, node): every line but short blank ones, node naming its text."""
-
-    def run(batches):
-        for b in batches:
-            for s in slices(b.column(2)):
-                owner, number, name, *_ = text_lines(s)
-                at = pa.array(s.first + owner)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(name)], ["_id", "_h", "line", "node"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _keyed(docs, text, key).mapInArrow(run, f"_id {kind}, _h long, line int, node long")
+def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(_id, _h, line, node, _line): every line but short blank ones; node names its text, _h that of the document."""
+    parts = F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "_line")
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), parts)
+    return rows.where((F.char_length("_line") >= MIN_CHARS) | F.col("_line").rlike(r"[^\x20\x09-\x0D]")).withColumn("node", F.xxhash64("_line"))
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+def _shingled(lines: pa.Array, limit: int = SIGNED):
+    """(first row, shingle hashes, where each line's begin) of lines that all have a shingle, slice by slice."""
+    for s in slices(lines, limit):
+        chars = np.flatnonzero((s.data & 0xC0) != 0x80)
+        edges = np.searchsorted(chars, s.offsets)
+        yield s.first, *shingles(np.append(chars, len(s.data)), s.prefix(), edges[:-1], edges[1:])
 
 
-def _signed(docs: DataFrame, text: str) -> DataFrame:
-    """(sig, node, n): the band keys of every line with a shingle, once for each batch that holds it."""
+def _signed(lines: DataFrame) -> DataFrame:
+    """(sig, node): the band keys of every line with a shingle, once for each batch that holds it."""
 
     def run(batches):
         for b in batches:
-            done: set[int] = set()
-            for s in slices(b.column(0)):
-                _, _, name, first, last, chars, sums = text_lines(s, MIN_CHARS)
-                _, once = np.unique(name, return_index=True)
-                once = np.array([i for i in once if name[i] not in done], np.int64)
-                done.update(name[once].tolist())
-                if len(once):
-                    h, begins = shingles(chars, sums, first[once], last[once])
-                    keys = bands(h, begins).ravel().view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(name[once], BANDS)), pa.array(np.repeat(np.diff(begins), BANDS).astype(np.int32))], ["sig", "node", "n"])
+            names, once = np.unique(np.asarray(b.column(0)), return_index=True)
+            once.sort()
+            names, texts = np.asarray(b.column(0))[once], b.column(1).take(pa.array(once))
+            for first, h, begins in _shingled(texts):
+                node = names[first : first + len(begins) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(bands(h, begins).ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], ["sig", "node"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "sig long, node long, n int")
+    return lines.where(F.char_length("_line") >= MIN_CHARS).select("node", "_line").mapInArrow(run, "sig long, node long")
 
 
 @lru_cache(maxsize=2048)
@@ -111,31 +96,24 @@ def line_set(raw: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, set, folds): the line behind each node, as bytes, and its parity sketch; read from one document that holds it."""
-    homes = lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("at"))
-    homes = cut(homes.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at._id").alias("_i"), F.col("at._h").alias("_g"), "nodes"), "homes")
+def _texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, set, SKETCH): the line behind each node, as bytes, and the sketch of its shingles; read at its first place."""
+    homes = places.join(nodes, "node", "left_semi").select(F.col("first._id").alias("_i"), F.col("first._h").alias("_g"), F.struct(F.col("first.line").alias("line"), "node").alias("at"))
+    homes = cut(homes.groupBy("_i", "_g").agg(F.collect_list("at").alias("at")), "homes")
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    chosen = rows.join(sent(homes), rows["_id"].eqNullSafe(homes["_i"]) & (rows["_h"] == homes["_g"]))
+    found = let(F.split("_text", "\n", -1), lambda parts: F.transform("at", lambda x: F.struct(x["node"].alias("node"), F.get(parts, x["line"]).cast("binary").alias("set"))))
 
     def run(batches):
         for b in batches:
-            asked = b.column(1)
-            for s in slices(b.column(0)):
-                owner, _, name, first, last, chars, sums = text_lines(s, MIN_CHARS)
-                want = [set(asked[s.first + i].as_py()) for i in range(s.n)]
-                hit = np.array([j for j in range(len(name)) if int(name[j]) in want[owner[j]]], np.int64)
-                _, once = np.unique(name[hit], return_index=True)
-                hit = hit[once]
-                if len(hit):
-                    raw = [s.data[chars[first[i]] : chars[last[i]]].tobytes() for i in hit]
-                    h, begins = shingles(chars, sums, first[hit], last[hit])
-                    sets = [np.unique(h[x:y]) for x, y in zip(begins[:-1], begins[1:], strict=True)]
-                    folds = parity_folds(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets))
-                    yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.array([len(x) for x in sets], pa.int32()), pa.array(raw, pa.binary()), *folds], ["node", "n", "set", *FOLDS])
-
-    rows = _keyed(docs, text, key)
-    chosen = rows.join(sent(homes), rows["_id"].eqNullSafe(homes["_i"]) & (rows["_h"] == homes["_g"]))
-    schema = "node long, n int, set binary, " + ", ".join(f"{f} long" for f in FOLDS)
-    return cut(chosen.select("_text", "nodes").mapInArrow(run, schema).dropDuplicates(["node"]), "texts")
+            for first, h, begins in _shingled(b.column(1)):
+                n = len(begins) - 1
+                h, begins = distinct(h, begins)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), *sketched(begins, h)], ["node", "set", *(c for c, _ in SKETCH)])
+
+    schema = "node long, set binary, " + ", ".join(f"{c} {kind}" for c, kind in SKETCH)
+    # rows repeated in full give a line once each
+    return cut(chosen.select(F.explode(found).alias("l")).select("l.node", "l.set").mapInArrow(run, schema).dropDuplicates(["node"]), "texts")
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -145,48 +123,59 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     the same lines.  The line that stays is the first by key, text hash and number; a null
     key comes first.
     """
-    lines = cut(_occurrences(docs, text, key), "lines")
-    members = cut(meetings(_signed(docs, text)), "members")
-    texts = _texts(docs, lines, members.select("node").distinct(), text, key)
-    members = cut(members.drop("n").join(texts.select("node", "n"), "node"), "members")
-    labels = closed_components(members, lambda pairs: similar_sets(possible(pairs, texts, NUM, DEN), texts, NUM, DEN, line_set), texts.select("node", *FOLDS), NUM, DEN)
-    placed = cut(lines.join(labels, "node", "left").select("_id", "_h", "line", F.coalesce("component", "node").alias("c")), "placed")
+    every = _lines(docs, text, key)
     place = F.struct("_id", "_h", "line")
-    firsts = placed.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c", "first")
-    firsts = cut(firsts, "firsts")
-    gone = placed.join(sent(firsts), "c").where(place != F.col("first"))
+    lines = cut(every.drop("_line"), "lines")
+    places = cut(lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")), "places")
+    members = cut(meetings(_signed(every)), "members")
+    nodes = cut(members.select("node").distinct(), "nodes")
+    texts = _texts(docs, places, nodes, text, key)
+    labels = closed_components(members, lambda pairs: similar_sets(pairs, texts, NUM, DEN, line_set), texts.drop("set"), NUM, DEN)
+    # lines that repeat: equal ones by their node, similar ones by their component
+    placed = places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "first", "last")
+    firsts = placed.groupBy("c").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last").select("c", "keep")
+    keeps = cut(placed.select("node", "c").join(firsts, "c").select("node", "keep"), "keeps")
+    gone = lines.join(keeps, "node").where(place != F.col("keep"))
     return gone.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
+def _with_dropped(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """_doc (the row of ``docs``, packed so that no name can clash), _text, n_lines, and the sorted numbers of the lines it loses."""
+    gone = cut(dropped_lines(docs, text, key), "dropped").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("dropped").alias("_dropped"))
+    count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"), count.alias("_lines"))
+    joined = rows.join(sent(gone), rows["_id"].eqNullSafe(gone["_i"]) & (rows["_h"] == gone["_g"]), "left")
+    return joined.select("_doc", "_text", "_lines", F.coalesce("_dropped", F.array().cast("array<int>")).alias("_dropped"))
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with the text freed of fuzzy repeats of lines, and n_lines, n_dropped.
 
-    Null texts stay null and have no lines; a text without \\n is one line; rows repeated in
-    full are treated alike; an empty table gives no rows.  Columns n_lines and n_dropped of
-    ``docs`` are replaced.
+    Null texts stay null and have no lines; a text without \\n is one line; an empty text is
+    one blank line, which stays.  Rows repeated in full are one document and lose the same
+    lines; of ties the first line by key, text hash and number stays, a null key first.  A very
+    long text or line is read whole; only signing holds it at once.  An empty table gives no
+    rows.  Columns n_lines and n_dropped of ``docs`` are replaced; no other name clashes.
     """
-    gone = cut(dropped_lines(docs, text, key), "dropped")
-    rows = docs.withColumn("_h", F.xxhash64(text))
-    gone = gone.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "dropped")
-    joined = rows.join(sent(gone), rows[key].eqNullSafe(gone["_i"]) & (rows["_h"] == gone["_g"]), "left").drop("_i", "_g", "_h")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
-    return joined.withColumns({
-        text: F.when(F.col("dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"),
-        "n_dropped": F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("long"),
-    }).drop("dropped")
+    rows = _with_dropped(docs, text, key)
+    parts = F.split("_text", "\n", -1)
+    kept = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_dropped")), lambda i: F.get(p, i)))
+    cleaned = F.when(F.size("_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("_text"))
+    same = [F.col(f"_doc.`{c}`").alias(c) if c != text else cleaned.alias(text) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*same, F.col("_lines").alias("n_lines"), F.size("_dropped").cast("long").alias("n_dropped"))
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without repeated lines, n_chars to match; a document that lost all its lines goes."""
+    """Pipeline stage: texts without repeated lines, n_chars to match; a document that lost all its lines goes.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables: as in dedup_lines.
+    A null text keeps a null n_chars.  Columns n_lines and n_dropped of ``docs``, which the
+    table documents has not, hold the stage's counts.
+    """
     out = dedup_lines(docs).where("n_dropped = 0 or n_dropped < n_lines")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def op4_minhash_lines(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = cut(dropped_lines(docs), "dropped").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "dropped")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
-    joined = rows.join(sent(gone), rows["doc_id"].eqNullSafe(gone["_i"]) & (rows["_h"] == gone["_g"]), "left")
-    return joined.select("doc_id", "n_lines", F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped_lines"))
+    rows = _with_dropped(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id")
+    return rows.select("_doc.doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").cast("long").alias("n_dropped"), F.col("_dropped").alias("dropped_lines"))

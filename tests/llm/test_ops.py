@@ -287,13 +287,38 @@ def test_blocks_of_a_very_large_set():
     assert np.isin(np.sort(want)[: int(jaccard.most_differing(np.int64(n))) + 1], sig).all()
 
 
-def test_sketches_bound_the_difference():
-    r = random.Random(2)
-    for n in (3, 50, 700):
-        a = np.unique(np.array([r.getrandbits(63) for _ in range(n)], np.uint64))
-        b = np.unique(np.concatenate([a[: int(n * 0.9)], np.array([r.getrandbits(63) for _ in range(n // 5)], np.uint64)]))
-        x, y = (jaccard.sketches(np.array([0, len(s)]), s)[0] for s in (a, b))
-        assert jaccard.least_difference(x, y) <= len(np.setxor1d(a, b))
+def test_sketches_rule_out_no_link(spark):
+    from lamina.llm import buckets
+
+    r = np.random.default_rng(2)
+    sets, pairs = [], []
+    for n in (1, 5, 60, 250, 300, 700, 1100, 5000):
+        base = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        for keep in (1, 0.95, 0.9, 0.85, 0.6, 0.2):
+            other = np.unique(np.concatenate([base[: int(len(base) * keep)], r.integers(0, 2**63, int(len(base) * (1 - keep)), dtype=np.uint64)])) if keep < 1 else np.append(base, base[-1] + np.uint64(1))
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [base, other]
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    columns = buckets.sketched(begins, np.concatenate(sets))
+    rows = list(zip(range(len(sets)), *(c.to_pylist() for c in columns), strict=True))
+    sides = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} {t}" for c, t in buckets.SKETCH))
+    left = {(x["a"], x["b"]) for x in buckets.possible(spark.createDataFrame(pairs, "a long, b long"), sides, 80, 100).collect()}
+    for a, b in pairs:
+        x, y = set(sets[a].tolist()), set(sets[b].tolist())
+        alike = len(x & y) / max(len(x | y), 1)
+        assert (a, b) in left or alike < 0.8
+        assert (a, b) not in left or alike >= 0.5 or len(x) <= 5
+
+
+def test_meetings_across_batches():
+    from lamina.llm import buckets
+
+    rows = sorted([(1, 5), (1, 5), (2, 7), (2, 8), (2, 8), (3, 1), (4, 2), (4, 3), (4, 9), (5, 5), (6, 1), (6, 1), (7, 2), (7, 4)])
+    want = [(k, n) for k, n in sorted(set(rows)) if len({m for s, m in rows if s == k}) > 1]
+    for size in (1, 2, 3, 5, 14):
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], pa.int64()) for i in (0, 1)], ["sig", "node"]) for at in range(0, len(rows), size)]
+        got = [x for b in buckets._meet(iter(parts)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(got) == want
 
 
 def test_quality(spark, docs, empty):
