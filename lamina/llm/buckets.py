@@ -9,7 +9,7 @@ ruled out by a proven bound, or compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,49 +22,105 @@ from .kernels import mix
 #: Columns of the short parity sketch, 64 positions each; sets of more than WIDE elements have a wide one too.
 FOLDS = [f"f{i}" for i in range(8)]
 WIDE = 256
+#: Pairs of key and node packed at once by a task that makes them, and held at once by one that sorts them out.
+PACKED, HELD = 1 << 19, 1 << 22
 #: Keys of a node kept to tell the first one a pair shares.
 FIRST_KEYS = 16
 
 
-def _meet(batches):
-    # rows come sorted by sig, node; of the last key and row of a batch only their values are held
-    last_sig = last_node = None
-    alone = False  # whether the last key has one node so far, which has not been told
-    for b in batches:
-        sig, node = (np.asarray(c) for c in b.columns)
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        new[0] = last_sig is None or sig[0] != last_sig
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = new[1:] | (node[1:] != node[:-1])
-        fresh[0] = new[0] or node[0] != last_node
-        key = np.cumsum(new)  # 0: goes on from the batch before
-        count = np.bincount(key[fresh], minlength=int(key[-1]) + 1)
-        met = count > 1
-        met[0] = count[0] > 0
-        told = fresh & met[key]
-        out_sig, out_node = sig[told], node[told]
-        if alone and count[0]:
-            out_sig, out_node = np.append(out_sig, last_sig), np.append(out_node, last_node)
-        if new.any():
-            alone = count[-1] == 1
-        elif count[0]:
-            alone = False
-        last_sig, last_node = sig[-1], node[-1]
-        if len(out_sig):
-            yield pa.RecordBatch.from_arrays([pa.array(out_sig.astype(np.int64)), pa.array(out_node.astype(np.int64))], ["sig", "node"])
-
-
-def meetings(rows: DataFrame) -> DataFrame:
-    """(sig, node) of the keys ``sig`` that two or more nodes share.
-
-    ``rows``: sig, node; repeats are fine.  A partition is streamed in order of the key,
-    so memory holds a batch whatever the size of a key.
+def _met(sig: np.ndarray, node: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(told, waits, found, sig, node) of pairs of key and node, returned by key and without repeats.
+
+    told: places of pairs whose key is in ``known`` or has two nodes and more; waits: of the
+    others; found: the keys told.
+    """
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig)))
+    crowd = np.flatnonzero(np.repeat(size > 1, size))
+    crowd = crowd[np.lexsort((node[crowd], sig[crowd]))]
+    again = np.zeros(len(sig), bool)
+    if len(crowd) > 1:
+        x, y = crowd[1:], crowd[:-1]
+        again[x] = (sig[x] == sig[y]) & (node[x] == node[y])
+    sig, node = sig[~again], node[~again]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig)))
+    keys = sig[first]
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    met = (size > 1) | (known[at] == keys if len(known) else False)
+    told = np.repeat(met, size)
+    return np.flatnonzero(told), np.flatnonzero(~told), keys[met], sig, node
+
+
+def meetings(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(sig, node) of the keys that two or more nodes share; ``keys`` gives (key, node) arrays for a batch of ``source``.
+
+    Keys are dealt into buckets in the tasks that make them and shuffled as packed blobs, so
+    that Spark moves some thousand rows instead of a row for each key.  A task takes its
+    buckets one by one, HELD pairs at a time: keys with two nodes are told at once and only
+    their values remembered, so a key of any size takes no more memory than another.  A pair
+    may be told twice if its bucket is larger than HELD.
     """
-    dealt = rows.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(_meet, "sig long, node long")
+    spark = source.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+
+    def pack(batches):
+        held, n = [], 0
+
+        def packed():
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (mix(sig ^ np.uint64(0x1D)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            both = np.stack([sig[order].view(np.int64), node[order].view(np.int64)], axis=1)
+            there, first = np.unique(bucket[order], return_index=True)
+            raw, ends = both.tobytes(), np.append(first[1:], len(order)) * 16
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([raw[x:y] for x, y in zip((first * 16).tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "pairs"])
+
+        for b in batches:
+            for sig, node in keys(b):
+                held.append((sig.view(np.uint64), node))
+                n += len(sig)
+                if n >= PACKED:
+                    yield packed()
+                    held, n = [], 0
+        if n:
+            yield packed()
+
+    def rows(sig, node):
+        for at in range(0, len(sig), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 16)].view(np.int64)), pa.array(node[at : at + (1 << 16)])], ["sig", "node"])
+
+    def meet(batches):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        current, held, n, known = None, [none], 0, none[0]
+
+        def settle(last: bool):
+            nonlocal held, n, known
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [none], 0
+            if len(sig):
+                told, waits, found, sig, node = _met(sig, node, known)
+                if not last:
+                    held, known = [(sig[waits], node[waits])], np.union1d(known, found)
+                yield from rows(sig[told], node[told])
+
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if bucket != current:
+                    yield from settle(True)
+                    current, known = bucket, none[0]
+                both = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, 2)
+                held.append((both[:, 0].view(np.uint64), both[:, 1]))
+                n += len(both)
+                if n >= HELD:
+                    yield from settle(False)
+        yield from settle(True)
+
+    dealt = source.mapInArrow(pack, "bucket int, pairs binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "sig long, node long")
 
 
 def parity_folds(owner: np.ndarray, h: np.ndarray, n: int) -> list[pa.Array]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,26 +13,47 @@ from pyspark.sql.window import Window
 #: Bytes, as zstd Parquet, up to which a written table is sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 _own_dir: list[str] = []
+_scratch: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none, in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lamina-"))
     return _own_dir[0]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+@contextmanager
+def scratch():
+    """Delete the tables that are cut inside when the block is left, but those cut with ``keep``."""
+    made: list[tuple[SparkSession, str]] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for spark, path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table replaces the lineage: a lost executor costs a re-read, not a
-    recomputation of all that came before.
+    recomputation of all that came before.  Inside ``scratch`` the table lives as long as
+    the block, or with ``keep`` as long as the block around that one, if there is any.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _scratch[:-1] if keep else _scratch
+    if scopes:
+        scopes[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,6 +125,15 @@ def identity(key: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """_doc, the whole row packed so that no name can clash; _key, its identity; text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), identity().alias("_key"), "text")
+
+
+def unkeyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

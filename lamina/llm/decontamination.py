@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, identity, let, sent
+from .common import cut, keyed, let, sent, unkeyed
 from .grams import exploded, grams_of, words
 
 WINDOW = 10
@@ -43,7 +43,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     Null and empty texts have no words and are clean; repeated rows are judged each; repeated
     and tied items count once by id, each text of a tied id is looked for, a null id counts as
     one item without a name; items without words have no window; without items or
-    documents nothing is hit.  Other columns of either table are not read.
+    documents nothing is hit.  Very long texts are read whole.  Other columns are not read.
     """
     shingles = cut(windows_of(items, window, shingle, item_text, item), "windows")
     # windows with equal words are looked for once; their items follow
@@ -87,11 +87,15 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without any window of a benchmark item; repeated rows stay or go together."""
+    """Pipeline stage: the documents without any window of a benchmark item; repeated rows stay or go together.
+
+    Null, empty and very long texts, ties and empty tables: as in ``contaminated``.  Rows are
+    told apart by id and text; no column name clashes.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.withColumn("_key", identity())
+    rows = keyed(docs)
     bad = cut(contaminated(rows, items, key="_key").where("contaminated").select("_key").distinct(), "contaminated")
-    return rows.join(sent(bad), "_key", "left_anti").select(*docs.columns)
+    return unkeyed(rows.join(sent(bad), "_key", "left_anti"), docs.columns)
 
 
 def op9_prefix_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -27,21 +27,25 @@ BATCH_BLOCKS = 4000
 
 # Elements of HTML by their role in the layout of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head iframe svg title".split())
+HIDDEN = frozenset("script style template head iframe title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 INLINE |= MATH
 # Elements whose text counts as that of the element around them; the labeller sees their names only.
-TRANSPARENT = MATH | {"object", "canvas"}
+TRANSPARENT = MATH | {"object", "canvas", "svg", "noscript"}
 FORM = frozenset("form button select option textarea input fieldset".split())
 # Start tags that end an open paragraph, and what else an element of their kind ends.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article div section".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
+# A quote opens a value only after =; one that is never closed is a character like others.  Nothing is read twice:
+# the groups are possessive, and a tag that does not match runs to the end of the page.
+_OPEN = re.compile(r"<([a-zA-Z][^\s/>]*+)((?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+|[\"'])*+)>", re.S)
+_CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*+>", re.I) for t in (*HIDDEN, "textarea")}
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+", re.S)
+_NAMED = re.compile(r"class|id|role", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -50,7 +54,8 @@ _WORD = re.compile(r"\w+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    labels: tuple[str, ...]  # tags of the open elements and the words of their names, each once
+    inner: tuple[str, ...]  # the tags of at most three elements around it, no inline ones, from the innermost
     linked: float  # share of characters inside links
 
 
@@ -72,131 +77,179 @@ _path_bucket, _word_bucket = Buckets(PATH_BUCKETS), Buckets(WORD_BUCKETS)
 
 def _labels(tag: str, attributes: str) -> tuple[str, ...]:
     found = [tag]
-    if attributes:
-        for name, a, b, c in _ATTR.findall(attributes):
-            found += [f"{x.lower()}" if name.lower() != "role" else f"role-{x.lower()}" for x in _PART.findall(a or b or c)]
-    return tuple(f"{tag}" if i == 0 else f".{x}" for i, x in enumerate(found))
+    if _NAMED.search(attributes):
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            kind = name.lower()
+            if kind in ("class", "id", "role"):
+                found += [f".role-{x.lower()}" if kind == "role" else f".{x.lower()}" for x in _PART.findall(a or b or c)]
+    return tuple(found)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order; scripts, styles and the head have none.
+class _Reader:
+    """The open elements of a page and the text of the block at hand.
 
-    Unclosed elements end where HTML ends them: a new paragraph or item ends the open one,
-    an end tag ends all that is open inside its element, inline ones included.
+    Counts of open tags and labels are kept, so a block costs as much as it has distinct
+    labels, however deep the page.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = total = 0
-    path: list[str] = []
-
-    def flush() -> None:
-        nonlocal linked, total, path
-        text = _SPACES.sub(" ", "".join(parts)).strip()
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: dict[str, int] = {}  # tag: how many are open
+        self.labels: dict[str, int] = {}
+        self.around: list[str] = []  # tags of the open elements that count as places
+        self.start()
+
+    def start(self) -> None:
+        self.parts: list[str] = []
+        self.linked = self.total = 0
+        self.place: tuple[tuple[str, ...], tuple[str, ...]] | None = None
+
+    def flush(self) -> None:
+        text = _SPACES.sub(" ", "".join(self.parts)).strip()
         if text:
-            out.append(Block(text, tuple(path), linked / max(total, 1)))
-        parts.clear()
-        linked = total = 0
-        path = []
-
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if any(t not in INLINE for t, _ in stack[i:]):
-                    flush()
-                del stack[i:]
-                return
-            if tag in INLINE and stack[i][0] not in INLINE:
-                return
+            self.out.append(Block(text, *self.place, self.linked / max(self.total, 1)))
+        self.start()
 
-    def add(raw: str) -> None:
-        nonlocal linked, total, path
+    def add(self, raw: str) -> None:
         if not raw:
             return
         text = _html.unescape(raw) if "&" in raw else raw
-        if not path and text.strip():
-            path = [x for _, labels in stack for x in labels]
         n = len(text.strip())
-        total += n
-        if any(t == "a" for t, _ in stack):
-            linked += n
-        parts.append(text)
+        if n and self.place is None:
+            self.place = tuple(self.labels), tuple(self.around[:-4:-1])
+        self.total += n
+        if self.open.get("a"):
+            self.linked += n
+        self.parts.append(text)
+
+    def push(self, tag: str, attributes: str) -> None:
+        labels = _labels(tag, attributes)[tag in TRANSPARENT :]
+        self.stack.append((tag, labels))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        for x in labels:
+            self.labels[x] = self.labels.get(x, 0) + 1
+        if tag not in INLINE and tag not in TRANSPARENT:
+            self.around.append(tag)
+
+    def pop(self) -> None:
+        tag, labels = self.stack.pop()
+        for counts, names in ((self.open, (tag,)), (self.labels, labels)):
+            for x in names:
+                counts[x] -= 1
+                if not counts[x]:
+                    del counts[x]
+        if tag not in INLINE and tag not in TRANSPARENT:
+            self.around.pop()
+
+    def close(self, tag: str) -> None:
+        """End the innermost open ``tag`` and all inside it; an inline one only if no block is open inside it."""
+        if not self.open.get(tag):
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            if tag in INLINE and self.stack[at][0] not in INLINE:
+                return
+            at -= 1
+        if any(t not in INLINE for t, _ in self.stack[at:]):
+            self.flush()
+        while len(self.stack) > at:
+            self.pop()
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag in ("br", "wbr"):
+            self.parts.append(" " if tag == "br" else "")
+            return
+        if tag in ENDS_P and self.open.get("p"):
+            self.close("p")
+        same = ENDS_SAME.get(tag, ())
+        if any(self.open.get(x) for x in same):
+            for t, _ in reversed(self.stack):
+                if t in same:
+                    self.close(t)
+                    break
+                if t in SCOPES:
+                    break
+        if tag not in INLINE:
+            self.flush()
+        if tag not in VOID and not attributes.endswith("/"):
+            self.push(tag, attributes)
+
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag == "p" and not self.open.get("p"):
+            self.flush()
+        else:
+            self.close(tag)
 
-    at = 0
+
+def blocks_of(page: str) -> list[Block]:
+    """The leaf blocks with text, in page order; scripts, styles and the head have none.
+
+    Unclosed elements end where HTML ends them: a new paragraph or item ends the open one,
+    an end tag ends all that is open inside its element, inline ones included.  A tag or
+    comment that the end of the page cuts off gives no text.  Time follows the length.
+    """
+    reader, at = _Reader(), 0
+    endless: set[str] = set()  # hidden elements without an end in what is left of the page
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            cut = page.find("<", at)
-            tail = page[at:]
-            if cut >= 0 and re.match(r"</?[a-zA-Z!]", page[cut:]):
-                tail = page[at:cut]  # a tag cut off by the end of the page
-            add(tail)
+        lt = page.find("<", at)
+        if lt < 0:
+            reader.add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag == "p" and not any(t == "p" for t, _ in stack) or tag == "br":
-                flush() if tag == "p" else parts.append(" ")
-            else:
-                close(tag)
-        elif m[2]:
-            tag = m[2].lower()
-            if tag in HIDDEN or tag == "textarea":
-                if tag in _RAW_END:
-                    end = _RAW_END[tag].search(page, at)
-                    at = end.end() if end else len(page) if tag in ("script", "style", "textarea") else at
-                    continue
-                if tag == "head":
-                    continue
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+        reader.add(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        if after == "!":
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = len(page) if end < 0 else end + (3 if page.startswith("<!--", lt) else 1)
+        elif after == "?" or after == "/" and not page[lt + 2 : lt + 3].isascii() or after == "/" and not page[lt + 2 : lt + 3].isalpha():
+            end = page.find(">", lt)
+            at = len(page) if end < 0 else end + 1
+        elif after == "/":
+            m = _CLOSE.match(page, lt)
+            if m is None:
+                break
+            at = m.end()
+            reader.end(m[1].lower())
+        elif after.isascii() and after.isalpha():
+            m = _OPEN.match(page, lt)
+            if m is None:
+                break
+            at, tag = m.end(), m[1].lower()
+            if tag == "head":
                 continue
-            if tag in ("br", "wbr"):
-                parts.append(" " if tag == "br" else "")
+            if tag in HIDDEN or tag == "textarea":
+                # without an end, only scripts, styles and text areas take the rest of the page
+                takes_rest = tag in ("script", "style", "textarea")
+                end = _RAW_END[tag].search(page, at) if tag not in endless and (takes_rest or not m[2].endswith("/")) else None
+                if end is None and not m[2].endswith("/"):
+                    endless.add(tag)
+                at = end.end() if end else len(page) if takes_rest else at
                 continue
-            if tag in ENDS_P and any(t == "p" for t, _ in stack):
-                close("p")
-            same = ENDS_SAME.get(tag)
-            if same:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same:
-                        close(stack[i][0])
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
-            if tag not in INLINE:
-                flush()
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, _labels(tag, m[3])[tag in TRANSPARENT :]))
-    flush()
-    return out
+            reader.begin(tag, m[2])
+        else:
+            reader.add("<")
+            at = lt + 1
+    reader.flush()
+    return reader.out
 
 
 def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
     """Tag-path buckets, word buckets and shapes of a page's blocks."""
-    paths = [[_path_bucket[f"{d}:{x}" if d >= 0 else x] for x, d in _spread(b.path)] for b in blocks]
+    paths = [[*(_path_bucket[x] for x in b.labels), *(_path_bucket[f"{d}:{x}"] for d, x in enumerate(b.inner))] for b in blocks]
     words = [[_word_bucket[w] for w in _WORD.findall(b.text.lower())] for b in blocks]
     shapes = np.zeros((len(blocks), SHAPES), np.float32)
     for i, b in enumerate(blocks):
         n, tokens = len(b.text), b.text.count(" ") + 1
-        leaf = next((x for x in reversed(b.path) if x[0] != "." and x not in INLINE), "")
+        leaf = b.inner[0] if b.inner else ""
         shapes[i] = (
             np.log1p(n) / 8, np.log1p(tokens) / 6, b.linked, sum(b.text.count(c) for c in ".!?;:,") / (tokens + 1), b.text[-1] in ".!?:\"'", leaf == "p",
-            leaf[:1] == "h" and leaf[1:].isdigit(), leaf in ("li", "dd", "dt", "td"), i / max(len(blocks) - 1, 1), any(x in FORM for x in b.path),
+            leaf[:1] == "h" and leaf[1:].isdigit(), leaf in ("li", "dd", "dt", "td"), i / max(len(blocks) - 1, 1), any(x in FORM for x in b.labels),
         )
     return paths, words, shapes
 
 
-def _spread(path: tuple[str, ...]):
-    """Every label of the path, and the innermost elements once more by their depth from the leaf."""
-    for x in dict.fromkeys(path):
-        yield x, -1
-    inner = [x for x in path if x[0] != "." and x not in INLINE][::-1]
-    for d, x in enumerate(inner[:3]):
-        yield x, d
-
-
 def _means(table: np.ndarray, lists: list[list[int]]) -> np.ndarray:
     n = np.array([len(x) for x in lists])
     flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if n.sum() else np.zeros(0, np.int64)
@@ -273,8 +326,10 @@ def predict(x: np.ndarray, mask: np.ndarray, weights: dict[str, np.ndarray]) ->
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the html by default), text and n_chars for every row.
 
-    Null and empty pages give an empty text; malformed markup is read as HTML reads it;
-    repeated rows are read each; columns text and n_chars of ``pages`` are replaced.
+    Null and empty pages give an empty text; malformed markup is read as HTML reads it; very
+    long pages and blocks are read whole, in time that follows their length; repeated rows are
+    read each; no row is compared with others, so there are no ties; an empty table gives no
+    rows; columns text and n_chars of ``pages`` are replaced, no other name clashes.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html, "text", "n_chars")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)

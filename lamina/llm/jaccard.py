@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
-from .common import cut, identity, sent
+from .common import cut, keyed, scratch, sent, unkeyed
 from .kernels import LOWER, distinct, mix, run_hash, slices, span_hash
 
 SHINGLE = 5
@@ -154,22 +154,19 @@ def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
     """(sig, node): the members of blocks that two or more sets share."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def emit(batches):
-        for b in batches:
-            done: set[int] = set()
-            for _, offsets, h in shingle_sets(b.column(0)):
-                node = nodes_of(offsets, h)
-                _, once = np.unique(node, return_index=True)
-                fresh = np.zeros(len(node), bool)
-                fresh[[i for i in once if node[i] not in done]] = True
-                done.update(node[once].tolist())
-                row, sig = blocks(offsets, h, shared.value)
-                keep = fresh[row]
-                row, sig = row[keep], sig[keep]
-                for at in range(0, len(row), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 16)].view(np.int64)), pa.array(node[row[at : at + (1 << 16)]])], ["sig", "node"])
+    def keys(batch: pa.RecordBatch):
+        done = np.zeros(0, np.int64)
+        for _, offsets, h in shingle_sets(batch.column(0)):
+            node = nodes_of(offsets, h)
+            fresh = np.zeros(len(node), bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            fresh &= ~np.isin(node, done)
+            done = np.union1d(done, node)
+            row, sig = blocks(offsets, h, shared.value)
+            keep = fresh[row]
+            yield sig[keep], node[row[keep]]
 
-    return meetings(docs.select(F.col(text).alias("_text")).mapInArrow(emit, "sig long, node long"))
+    return meetings(docs.select(F.col(text).alias("_text")), keys)
 
 
 def _sets(docs: DataFrame, homes: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
@@ -199,16 +196,20 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """key, n_shingles, component_id (the smallest key reachable by links) for every row.
 
     Rows without words, null texts included, link to nothing and are their own component.
-    Repeated rows are returned each.  An empty table gives no rows; other columns are not read.
+    Repeated rows are returned each; rows with tied keys are told apart by their texts, and
+    share the smallest key of what either links to.  Very long texts are read whole.  An empty
+    table gives no rows; other columns are not read, so their names can't clash.
     """
-    survey = cut(_survey(docs, text, key), "survey")
-    members = cut(_bucketed(docs, _weights(survey), text), "members")
-    once = survey.where("slot is null and n > 0").groupBy("node").agg(F.min("_id").alias("home"), *[F.first(c).alias(c) for c, _ in SKETCH])
-    sides = cut(once.join(members.select("node").distinct(), "node", "left_semi"), "sides")
-    labels = closed_components(members, lambda pairs: _verified(docs, sides, pairs, text, key), sides.drop("home"), NUM, DEN)
-    rows = survey.where("slot is null").select("_id", "n", "node")
-    grouped = cut(rows.join(labels, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")), "grouped")
-    least = cut(grouped.where("c is not null").groupBy("c").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "least")
+    with scratch():
+        survey = cut(_survey(docs, text, key), "survey")
+        members = cut(_bucketed(docs, _weights(survey), text), "members")
+        once = survey.where("slot is null and n > 0").groupBy("node").agg(F.min("_id").alias("home"), *[F.first(c).alias(c) for c, _ in SKETCH])
+        sides = cut(once.join(members.select("node").distinct(), "node", "left_semi"), "sides")
+        labels = closed_components(members, lambda pairs: _verified(docs, sides, pairs, text, key), sides.drop("home"), NUM, DEN)
+        rows = survey.where("slot is null").select("_id", "n", "node")
+        grouped = cut(rows.join(labels, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c")), "grouped", keep=True)
+        least = grouped.where("c is not null").groupBy("c").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        least = cut(least, "least", keep=True)
     return grouped.join(sent(least), "c", "left").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
@@ -216,9 +217,10 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that of the smallest id.
 
     A null id is larger than all others; of one id the smallest text hash stays, and of rows
-    with equal id and text one.  Rows without words all stay.
+    with equal id and text one.  Rows without words, null and empty texts among them, all
+    stay.  Very long texts are read whole; an empty table stays empty; no column name clashes.
     """
-    rows = docs.withColumn("_key", identity())
+    rows = keyed(docs)
     found = cut(near_components(rows, key="_key").where("n_shingles > 0"), "identities")
     gone = cut(found.where("component_id <> _key").select("_key").distinct(), "near")
     twice = cut(found.where("component_id = _key").groupBy("_key").count().where("count > 1").select("_key"), "repeats")
@@ -226,7 +228,7 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not twice.isEmpty():
         once = kept.join(sent(twice), "_key", "left_semi").dropDuplicates(["_key"])
         kept = kept.join(sent(twice), "_key", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return unkeyed(kept, docs.columns)
 
 
 def op6_parity_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ DRIFT = 4
 #: Share of a template's grams that a span must hold, and how much longer than the template it may be.
 LEAST_SCORE = 0.6
 STRETCH = 2.0
+#: Words of all phrases and templates together, above which they would be too large to broadcast.
+MOST_GRAMS = 100_000
 
 # Phrases that the base labels stand for.
 PHRASES = [
@@ -66,11 +68,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: list
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
     Null and empty texts have no words and no labels (empty strings, score 0, null places).
-    Repeated rows are scanned each.  Phrases and templates are parameters of fixed size and
-    are sent to every executor.  Other columns are not read.
+    Repeated rows are scanned each; of ties all labels count.  Very long texts are read whole;
+    an empty table gives no rows.  Phrases and templates are parameters of fixed size, which
+    MOST_GRAMS bounds, and are sent to every executor.  Other columns are not read.
     """
     spark = docs.sparkSession
-    known = template_grams(spark, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
+    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    if sum(len(t.split()) for _, t in [*phrases, *templates]) > MOST_GRAMS:
+        raise ValueError("phrases and templates are too long to be sent to every executor")
+    known = template_grams(spark, phrases, templates)
     every = exploded(docs, [GRAM], text, key).withColumn("h", F.xxhash64("gram"))
     known = known.withColumnRenamed("gram", "is")
     met = every.join(F.broadcast(known), (every["h"] == known["h"]) & (F.col("gram") == F.col("is")), "left").where("template is not null or k is null")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
-from .common import cut, let, sent
+from .common import cut, let, scratch, sent
 from .kernels import Slice, distinct, mix, slices, span_hash
 
 SHINGLE = 5
@@ -72,19 +72,13 @@ def _shingled(lines: pa.Array, limit: int = SIGNED):
         yield s.first, *shingles(np.append(chars, len(s.data)), s.prefix(), edges[:-1], edges[1:])
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """(sig, node): the band keys of every line with a shingle, once for each batch that holds it."""
-
-    def run(batches):
-        for b in batches:
-            names, once = np.unique(np.asarray(b.column(0)), return_index=True)
-            once.sort()
-            names, texts = np.asarray(b.column(0))[once], b.column(1).take(pa.array(once))
-            for first, h, begins in _shingled(texts):
-                node = names[first : first + len(begins) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(bands(h, begins).ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], ["sig", "node"])
-
-    return lines.where(F.char_length("_line") >= MIN_CHARS).select("node", "_line").mapInArrow(run, "sig long, node long")
+def _signed(batch: pa.RecordBatch):
+    """(band keys, nodes) of a batch of (node, line), once for each line, a slice at a time."""
+    _, once = np.unique(np.asarray(batch.column(0)), return_index=True)
+    once.sort()
+    names, texts = np.asarray(batch.column(0))[once], batch.column(1).take(pa.array(once))
+    for first, h, begins in _shingled(texts):
+        yield bands(h, begins).ravel(), np.repeat(names[first : first + len(begins) - 1], BANDS)
 
 
 @lru_cache(maxsize=2048)
@@ -126,22 +120,25 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     every = _lines(docs, text, key)
     place = F.struct("_id", "_h", "line")
     lines = cut(every.drop("_line"), "lines")
-    places = cut(lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")), "places")
-    members = cut(meetings(_signed(every)), "members")
+    places = cut(lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")), "places")
+    members = cut(meetings(every.where(F.char_length("_line") >= MIN_CHARS).select("node", "_line"), _signed), "members")
     nodes = cut(members.select("node").distinct(), "nodes")
     texts = _texts(docs, places, nodes, text, key)
     labels = closed_components(members, lambda pairs: similar_sets(pairs, texts, NUM, DEN, line_set), texts.drop("set"), NUM, DEN)
     # lines that repeat: equal ones by their node, similar ones by their component
-    placed = places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "first", "last")
-    firsts = placed.groupBy("c").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep <> last").select("c", "keep")
-    keeps = cut(placed.select("node", "c").join(firsts, "c").select("node", "keep"), "keeps")
+    placed = places.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.col("component").isNotNull().alias("linked"), "first", "m").where("linked or m > 1")
+    firsts = placed.where("linked").groupBy("c").agg(F.min("first").alias("keep"))
+    keeps = placed.where("linked").select("node", "c").join(firsts, "c").select("node", "keep").unionByName(placed.where("not linked").select("node", F.col("first").alias("keep")))
+    keeps = cut(keeps, "keeps")
     gone = lines.join(keeps, "node").where(place != F.col("keep"))
     return gone.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def _with_dropped(docs: DataFrame, text: str, key: str) -> DataFrame:
     """_doc (the row of ``docs``, packed so that no name can clash), _text, n_lines, and the sorted numbers of the lines it loses."""
-    gone = cut(dropped_lines(docs, text, key), "dropped").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("dropped").alias("_dropped"))
+    with scratch():
+        gone = cut(dropped_lines(docs, text, key), "dropped", keep=True)
+    gone = gone.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("dropped").alias("_dropped"))
     count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"), count.alias("_lines"))
     joined = rows.join(sent(gone), rows["_id"].eqNullSafe(gone["_i"]) & (rows["_h"] == gone["_g"]), "left")

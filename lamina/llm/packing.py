@@ -25,8 +25,10 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k"
 #: The added token that the vocabulary file declares.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Triples enumerated for each length.
+#: Triples enumerated for each length; more make the fit slower, its plan seldom shorter.
 TRIPLES_PER_LENGTH = 6
+#: The fit ends after so many sweeps, or with one whose largest step is under a quarter of a sequence.
+SWEEPS, LEAST_STEP = 60, 0.25
 _encoders: dict[str, object] = {}
 
 
@@ -100,10 +102,12 @@ def enumerate_patterns(histogram: dict[int, int], limit: int, triples: int = TRI
     return sorted(out, reverse=True)
 
 
-def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], limit: int, sweeps: int = 60) -> np.ndarray:
+def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], limit: int, sweeps: int = SWEEPS, least: float = LEAST_STEP) -> np.ndarray:
     """Non-negative least squares of pattern counts to the histogram, by cyclic coordinate descent.
 
     Each pattern touches at most three lengths, so a sweep costs a few operations a pattern.
+    It ends with a sweep whose largest step is under ``least``, or after ``sweeps``; counts are
+    rounded down afterwards and what they leave is packed best fit, so no piece depends on it.
     """
     target = np.zeros(limit + 1)
     for n, c in histogram.items():
@@ -119,7 +123,7 @@ def fit_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], limit
                 x[j] += step
                 residual[at] -= step * w
                 moved = max(moved, abs(step))
-        if moved < 0.25:
+        if moved < least:
             break
     return x
 
@@ -190,8 +194,8 @@ def pack(docs: DataFrame, limit: int = SEQUENCE, text: str = "text", key: str =
     """key, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
     Sequences hold at most ``limit`` ids; only longer documents are cut.  Null and empty
-    texts are documents of one id.  Repeated rows are packed each; an empty table gives no
-    rows; other columns are not read.  The plan has at most a few rows for each length, so
+    texts are documents of one id; very long ones are tokenised whole.  Repeated rows are packed
+    each, ties in any order; an empty table gives no rows; other columns are not read.  The plan has at most a few rows for each length, so
     it is sent to every executor.
     """
     found = cut(pieces(docs, limit, text, key, tokenizer), "pieces")
@@ -217,7 +221,7 @@ def pack(docs: DataFrame, limit: int = SEQUENCE, text: str = "text", key: str =
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents packed into sequences of 1024 ids."""
+    """Pipeline stage: the documents packed into sequences of 1024 ids; all cases as in ``pack``."""
     return pack(docs)
 
 

@@ -113,34 +113,46 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     return rated.withColumn("rejected", F.greatest(*[F.col(f"rate_{k}") for k in RULES]) >= limit)
 
 
-def judged(docs: DataFrame, keep: list[str] | None = None, text: str = "text", host: str = "source", limit: float = HOST_LIMIT, reuse: bool = False) -> DataFrame:
-    """``keep`` columns, metrics, ``base_failed`` and ``kept`` for every row.
-
-    Null and empty texts have no words and so fail; repeated rows are judged alike and all
-    returned; a null host is a host; an empty table gives no rows.  With ``reuse`` the
-    measured rows are cut once; without, the texts are measured again in the second pass,
-    which keeps whole texts out of any shuffle or cut.
-    """
-    keep = docs.columns if keep is None else keep
-    need = list(dict.fromkeys([*keep, host]))
-    measured = with_metrics(docs, text, need)
+def _verdicts(docs: DataFrame, keep: list[str], text: str, host: str, limit: float, reuse: bool) -> DataFrame:
+    """Columns _k0 .. of ``keep``, the metrics as _q_.., _failed and _kept: names that can't clash with those of ``docs``."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(host).alias("_host"), F.col(text).alias("_words"))
+    measured = with_metrics(rows, "_words", [*(f"_k{i}" for i in range(len(keep))), "_host"])
     if reuse:
         measured = cut(measured, "metrics")
         counted = measured
     else:
-        counted = with_metrics(docs, text, [host])
-    bad = host_verdicts(counted, host, limit).where("rejected").select(F.col(host).alias("_host"), F.lit(True).alias("_rejected"))
+        counted = with_metrics(rows, "_words", ["_host"])
+    bad = host_verdicts(counted, "_host", limit).where("rejected").select(F.col("_host").alias("_bad"), F.lit(True).alias("_rejected"))
     bad = cut(bad, "rejected")
-    found = measured.join(sent(bad), measured[host].eqNullSafe(bad["_host"]), "left")
     rules = _rules()
-    found = found.withColumn("base_failed", rules["short"] | rules["repeats"])
-    found = found.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull())
-    return found.select(*keep, *[F.col(f"_q_{m}").alias(m) for m in METRICS if m not in keep], "base_failed", "kept")
+    found = measured.join(sent(bad), measured["_host"].eqNullSafe(bad["_bad"]), "left").withColumn("_failed", rules["short"] | rules["repeats"])
+    return found.withColumn("_kept", ~F.col("_failed") & F.col("_rejected").isNull())
+
+
+def judged(docs: DataFrame, keep: list[str] | None = None, text: str = "text", host: str = "source", limit: float = HOST_LIMIT, reuse: bool = False) -> DataFrame:
+    """``keep`` columns, metrics, ``base_failed`` and ``kept`` for every row.
+
+    Null and empty texts have no words and so fail; very long texts are measured whole;
+    repeated rows are judged alike and all returned, ties of any kind likewise; a null host is
+    a host; an empty table gives no rows; columns of ``docs`` with the names of results are
+    replaced by these.  With ``reuse`` the measured rows are cut once; without, the texts are
+    measured again in the second pass, which keeps whole texts out of any shuffle or cut.
+    """
+    keep = docs.columns if keep is None else keep
+    found = _verdicts(docs, keep, text, host, limit, reuse)
+    results = [*METRICS, "base_failed", "kept"]
+    same = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c not in results]
+    return found.select(*same, *[F.col(f"_q_{m}").alias(m) for m in METRICS], F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that neither their own rules nor their host's verdict reject."""
-    return judged(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: the documents that neither their own rules nor their host's verdict reject.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables: as in ``judged``;
+    a column of any name comes through as it is.
+    """
+    found = _verdicts(docs, docs.columns, "text", "source", HOST_LIMIT, False).where("_kept")
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_host_quality(spark, sf_dir: str) -> DataFrame:

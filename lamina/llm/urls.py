@@ -154,15 +154,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
     ``rules``: (verdict, ``host/path``), one list of keys for each verdict, each with its
     cascade.  A rule fits its host and all subdomains if the path starts with the rule's;
     of those that fit, the longest wins.  Null and malformed urls fit no rule and get
-    ``default``, as does a url without a fitting rule.  Repeated rows are judged alike.
-    Columns of ``pages`` with the names in ``out`` are replaced.
+    ``default``, as does a url without a fitting rule.  Rules of one length can't both fit a
+    url unless they are equal, and then the later verdict in order of names holds.  Repeated
+    rows are judged alike; very long urls are read whole; an empty table gives no rows.
+    Columns of ``pages`` with the names in ``out`` are replaced; no other name clashes.
     """
     split = [(verdict, *_split(rule)) for verdict, rule in rules]
     lengths = sorted({len(path) for _, _, path in split})
     spark = pages.sparkSession
-    parsed = pages.withColumn("_h", host_of(F.col(url))).withColumn("_p", path_of(F.col(url)))
+    same = [c for c in pages.columns if c not in out]
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in same], F.lit(0).alias("_row")).alias("_doc"), host_of(F.col(url)).alias("_h"), path_of(F.col(url)).alias("_p"))
+    kept = [F.col(f"_doc.`{c}`").alias(c) for c in same]
     if not split:
-        return parsed.withColumns({out[0]: F.col("_h"), out[1]: F.col("_p"), out[2]: F.lit(None).cast("string"), out[3]: F.lit(default)}).drop("_h", "_p")
+        return parsed.select(*kept, F.col("_h").alias(out[0]), F.col("_p").alias(out[1]), F.lit(None).cast("string").alias(out[2]), F.lit(default).alias(out[3]))
     keys = url_keys(F.col("_h"), F.col("_p"), lengths)
     hosts = parsed.select("_h", *[F.substring("_p", 1, max(lengths)).alias("_p")]).distinct()
     universe = hosts.select(F.explode(keys).alias("key"))
@@ -186,10 +190,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
     fits = F.filter(F.zip_with("_k", "_in", lambda k, i: F.struct(F.char_length(k).alias("n"), k.alias("k"), i.alias("i"))), lambda x: x["i"] >= 0)
     best = looked.withColumn("_best", F.array_max(fits))
     names = F.array(*[F.lit(v) for v in verdicts])
-    return best.withColumns({
-        out[0]: F.col("_h"), out[1]: F.col("_p"), out[2]: F.col("_best.k"),
-        out[3]: F.when(F.col("_best").isNull(), F.lit(default)).otherwise(F.get(names, F.col("_best.i"))),
-    }).drop("_h", "_p", "_k", "_in", "_best")
+    verdict = F.when(F.col("_best").isNull(), F.lit(default)).otherwise(F.get(names, F.col("_best.i")))
+    return best.select(*kept, F.col("_h").alias(out[0]), F.col("_p").alias(out[1]), F.col("_best.k").alias(out[2]), verdict.alias(out[3]))
 
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]

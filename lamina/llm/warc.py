@@ -79,8 +79,9 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     Of rows with equal payloads the one with the smallest key is a response, the others are
     revisits that refer to it; rows repeated with that smallest key are responses too.  A null
     payload is an empty one.  A null key is written without a number, is smaller than none and
-    so is a revisit wherever another row has its payload.  A task that runs twice leaves a file
-    of its own each time; only files in the returned rows count, so read those.
+    so is a revisit wherever another row has its payload.  Very long payloads are written whole;
+    an empty table gives no archive; other columns are not read.  A task that runs twice leaves
+    a file of its own each time; only files in the returned rows count, so read those.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_url"), body.alias("_body"))
@@ -177,7 +178,10 @@ def read_warc(spark: SparkSession, files: DataFrame | str, split: int = SPLIT_BY
     """The records of the archives: type, id, page_id, url, digest, full payload length, refers_to, payload, file, position.
 
     ``files``: a folder, or a DataFrame with a column ``file``.  Bytes that aren't records
-    are passed over; a response whose payload differs from its digest fails the read.
+    are passed over; a response whose payload differs from its digest fails the read.  Repeated
+    records are returned each, very long ones whole; no archives give no rows; other columns
+    of ``files`` are not read.  A gzip member with a whole record that lies uncompressed inside
+    another record's payload is read as a record if a split begins before it.
     """
     if isinstance(files, str):
         store, path = pafs.FileSystem.from_uri(files)

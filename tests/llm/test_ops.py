@@ -223,9 +223,8 @@ def test_tokenizers_give_the_same_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for text in ("", "Hello  world\n\n it's 12 o'clock", "Äé😀\u3000x <|endoftext|>", "a" * 5000):
-        assert t.encode(text, add_special_tokens=False).ids == packing.encoder().encode_ordinary(text)
+    for text in ("", "Hello  world\n\n it's 12 o'clock", "Äé😀\u3000x <|endoftext|> y", "a" * 5000, "\t\x0b\x85 \u2028 １２ ǅ\r\n  \n"):
+        assert t.encode(text, add_special_tokens=False).ids == packing.encoder().encode(text, allowed_special="all")
 
 
 def test_added_token_has_its_own_id(spark):
@@ -310,15 +309,34 @@ def test_sketches_rule_out_no_link(spark):
         assert (a, b) not in left or alike >= 0.5 or len(x) <= 5
 
 
-def test_meetings_across_batches():
+def test_meetings(spark, monkeypatch):
     from lamina.llm import buckets
 
-    rows = sorted([(1, 5), (1, 5), (2, 7), (2, 8), (2, 8), (3, 1), (4, 2), (4, 3), (4, 9), (5, 5), (6, 1), (6, 1), (7, 2), (7, 4)])
-    want = [(k, n) for k, n in sorted(set(rows)) if len({m for s, m in rows if s == k}) > 1]
-    for size in (1, 2, 3, 5, 14):
-        parts = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], pa.int64()) for i in (0, 1)], ["sig", "node"]) for at in range(0, len(rows), size)]
-        got = [x for b in buckets._meet(iter(parts)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        assert sorted(got) == want
+    r = np.random.default_rng(4)
+    rows = [(int(k) * 1_000_003, int(n)) for k, n in zip(r.integers(0, 400, 3000), r.integers(0, 60, 3000), strict=True)] + [(7, n) for n in range(500)] + [(8, 1), (8, 1), (-9, 2)]
+    held = {}
+    for k, n in rows:
+        held.setdefault(k, set()).add(n)
+    want = sorted((k, n) for k, ns in held.items() if len(ns) > 1 for n in ns)
+    df = spark.createDataFrame(rows, "sig long, node long").repartition(3)
+    keys = lambda b: iter([(np.asarray(b.column(0)), np.asarray(b.column(1)))])
+    assert sorted(map(tuple, buckets.meetings(df, keys).collect())) == want
+    monkeypatch.setattr(buckets, "HELD", 16)
+    monkeypatch.setattr(buckets, "PACKED", 64)
+    assert sorted(set(map(tuple, buckets.meetings(df, keys).collect()))) == want
+
+
+def test_keys_with_two_nodes_are_met_in_pieces():
+    from lamina.llm.buckets import _met
+
+    known, waiting, told = np.zeros(0, np.uint64), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
+    rows = [(5, 1), (5, 1), (6, 1), (7, 1), (5, 2), (6, 1), (7, 3), (7, 4), (5, 9), (8, 2)]
+    for at in range(0, len(rows), 3):
+        sig, node = (np.array(x) for x in zip(*rows[at : at + 3], strict=True))
+        found = _met(np.concatenate([waiting[0], sig.astype(np.uint64)]), np.concatenate([waiting[1], node]), known)
+        told |= {(int(found[3][i]), int(found[4][i])) for i in found[0]}
+        waiting, known = (found[3][found[1]], found[4][found[1]]), np.union1d(known, found[2])
+    assert told == {(5, 1), (5, 2), (5, 9), (7, 1), (7, 3), (7, 4)}
 
 
 def test_quality(spark, docs, empty):
@@ -405,10 +423,10 @@ def test_html_extraction(spark):
 
 
 def test_html_features_read_whole_blocks():
-    late = [html.features([html.Block(" ".join(["word"] * 3000 + [w]), ("p",), 0.0)])[1][0] for w in ("advertisement", "cookies")]
+    late = [html.features([html.Block(" ".join(["word"] * 3000 + [w]), ("p",), ("p",), 0.0)])[1][0] for w in ("advertisement", "cookies")]
     assert [len(x) for x in late] == [3001, 3001] and late[0] != late[1]
     utility = " ".join("abcdefghijklmnop")
-    assert ".comments" in html.blocks_of(f'<div class="{utility} comments">text</div>')[0].path
+    assert ".comments" in html.blocks_of(f'<div class="{utility} comments">text</div>')[0].labels
 
 
 def test_html_reads_formulas_and_fallback_text(spark):
