@@ -113,14 +113,5 @@ def joins_next(text: Column, depth: Column, following: Column, following_depth:
     return ~stop & following.rlike("^[\\p{L}\\p{N}(\"']") & signal
 
 
-def is_numeric_row(row: Column) -> Column:
-    return F.exists(row, lambda x: x.rlike(r"\p{Nd}"))
-
-
-def looks_like_header(first: Column, body: Column) -> Column:
-    near = F.filter(body, lambda r: F.abs(F.size(r) - F.size(first)) <= 1)
-    return (F.size(first) >= 2) & ~is_numeric_row(first) & F.forall(first, lambda x: F.size(words(x)) <= 6) & F.exists(near, is_numeric_row)
-
-
 def splits_word(text: Column, at: Column) -> Column:
     return F.substr(text, at, F.lit(2)).rlike(r"(?U)^\S\S$")
