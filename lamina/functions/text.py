@@ -84,11 +84,22 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(c, r"(?U)([.!?])(\s+)", "$1$2\u0001"), "\u0001"), lambda x: x != "")
 
 
-def spans(pieces: Column, start: Column) -> Column:
-    """(start, end) of pieces that follow each other from ``start``."""
-    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.char_length(x)).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.char_length(x)).cast("int").alias("end")))).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_ends(lengths: Column, start: Column, gap: int = 0) -> Column:
+    """The end of each of texts of these lengths that follow each other from ``start``, ``gap`` characters apart."""
+    zero = F.struct((start - gap).cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, n: let((s["at"] + n + gap).cast("int"), lambda e: F.struct(e.alias("at"), F.concat(s["out"], F.array(e)).alias("out")))
+    return F.aggregate(lengths, zero, step, lambda s: s["out"])
+
+
+def spans(pieces: Column, start: Column, gap: int = 0) -> Column:
+    """(start, end) of pieces that follow each other from ``start``, ``gap`` characters apart."""
+    each = lambda n: F.transform(running_ends(n, start, gap), lambda e, i: F.struct((e - F.get(n, i)).cast("int").alias("start"), e.alias("end")))
+    return let(F.transform(pieces, F.char_length), each)
 
 
 def contextualized(prefix: Column, text: Column) -> Column:
@@ -112,10 +123,3 @@ def page_delimiter(current: Column, following: Column) -> Column:
 def percent(c: Column) -> Column:
     """Whole per cent, halves to even."""
     return F.bround(c * 100).cast("int")
-
-
-def spans_apart(texts: Column) -> Column:
-    """(start, end) of texts that follow each other from 0 with one character between."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.char_length(x) + 1).cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.char_length(x)).cast("int").alias("end")))).alias("out"))
-    return F.aggregate(texts, zero, step, lambda s: s["out"])

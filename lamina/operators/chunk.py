@@ -9,10 +9,6 @@ from pyspark.sql.window import Window
 from lamina.functions import text as T
 from lamina.schemas import ChunkingConfig
 
-UNIT = "struct<start:int,end:int,type:string,heading:string,table_header:string,is_header:boolean>"
-SPAN = "array<struct<start:int,end:int,heading:string,table_header:string,prev_start:int,prev_end:int>>"
-
-
 def char_spans(length: Column, size: int, overlap: int) -> Column:
     """(start, end) of windows of ``size`` that overlap by ``overlap``; the last one reaches the end."""
     step = size - overlap
@@ -29,114 +25,116 @@ def units(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     A heading or paragraph is one unit, a list one for each item, a table one for each row,
     its header row first.  heading: the last heading before; table_header: the header of the
     table, inherited over an unbroken run of table units.  Columns: document_id, unit_no,
-    start, end, type, heading, table_header, is_header.
+    start, end, type, heading, table_header, is_header, text.
     """
-    spans = documents.select("document_id", "full_text", F.explode("pages").alias("p")).select("document_id", "full_text", F.col("p.page_number").alias("page_number"), F.col("p.start").alias("page_start"))
+    starts = documents.select("document_id", F.explode("pages").alias("p")).select("document_id", F.col("p.page_number").alias("page_number"), F.col("p.start").alias("page_start"))
     rows = F.transform(F.col("rows"), lambda r: F.array_join(r, " | "))
     head = F.array_join("columns", " | ")
     named = F.size("columns") > 0
     texts = F.when(F.col("type") == "list", F.col("items")).when(F.col("type") == "table", F.when(named, F.concat(F.array(head), rows)).otherwise(rows)).otherwise(F.array("text"))
-    found = blocks.join(spans, ["document_id", "page_number"]).select(
-        "document_id", "page_number", "block_seq", "type", "full_text", (F.col("page_start") + F.col("start_char")).alias("base"), F.when((F.col("type") == "table") & named, head).alias("own"), F.posexplode(T.spans_apart(texts)).alias("i", "s"))
-    found = found.withColumn("start", (F.col("base") + F.col("s.start")).cast("int")).withColumn("end", (F.col("base") + F.col("s.end")).cast("int"))
+    placed = blocks.join(starts, ["document_id", "page_number"]).withColumn("base", F.col("page_start") + F.col("start_char"))
+    each = T.let(texts, lambda t: F.transform(T.spans(t, F.col("base"), 1), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(t, i).alias("text"))))
+    found = placed.select("document_id", "page_number", "block_seq", "type", F.when((F.col("type") == "table") & named, head).alias("own"), F.posexplode(each).alias("i", "s")).select("*", "s.*").drop("s")
     found = found.where(~F.col("type").isin("heading", "paragraph") | (F.col("end") > F.col("start")))
     at = Window.partitionBy("document_id").orderBy("page_number", "block_seq", "i")
-    text = F.substr("full_text", F.col("start") + 1, F.col("end") - F.col("start"))
-    heading = F.when(F.col("type") != "heading", F.last(F.when(F.col("type") == "heading", text), True).over(at))
+    heading = F.when(F.col("type") != "heading", F.last(F.when(F.col("type") == "heading", F.col("text")), True).over(at))
     found = found.withColumn("heading", heading).withColumn("run", F.sum((F.col("type") != "table").cast("int")).over(at))
     inherited = F.last("own", True).over(Window.partitionBy("document_id", "run").orderBy("page_number", "block_seq", "i"))
     found = found.withColumn("table_header", F.when(F.col("type") == "table", inherited))
-    return found.select("document_id", (F.row_number().over(at) - 1).alias("unit_no"), "start", "end", "type", "heading", "table_header", ((F.col("type") == "table") & F.col("own").isNotNull() & (F.col("i") == 0)).alias("is_header"))
+    return found.select("document_id", (F.row_number().over(at) - 1).alias("unit_no"), "start", "end", "type", "heading", "table_header", ((F.col("type") == "table") & F.col("own").isNotNull() & (F.col("i") == 0)).alias("is_header"), "text")
 
 
-def pieces(found: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+def pieces(found: DataFrame, size: int) -> DataFrame:
     """The units, those longer than ``size`` cut into sentences that keep all else."""
-    body = found.join(documents.select("document_id", "full_text"), "document_id")
-    text = F.substr("full_text", F.col("start") + 1, F.col("end") - F.col("start"))
     whole = F.array(F.struct("start", "end"))
-    cut = F.when(F.col("end") - F.col("start") > size, T.spans(T.sentences(text), F.col("start"))).otherwise(whole)
-    out = body.select("document_id", "unit_no", "type", "heading", "table_header", "is_header", F.posexplode(cut).alias("piece_no", "s"))
+    cut = F.when(F.col("end") - F.col("start") > size, T.spans(T.sentences(F.col("text")), F.col("start"))).otherwise(whole)
+    out = found.select("document_id", "unit_no", "type", "heading", "table_header", "is_header", F.posexplode(cut).alias("piece_no", "s"))
     return out.select("document_id", "unit_no", "piece_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "type", "heading", "table_header", "is_header")
 
 
 def pack(u: Column, size: int, context: bool) -> Column:
-    """Fold ordered units into chunk spans, with what their context prefix is made of.
+    """Chunk spans of ordered units, with what their context prefix is made of.
 
     A chunk takes units while its span fits its budget.  With context the budget leaves room
     for the prefix (but never less than the first unit), a chunk opened by a table row takes
     only table rows, and one that is a header row alone takes the next row even if too long.
+    What a unit would cost as the first of a chunk is known before packing: the unit before
+    it is then always the last of the chunk before.  The fold keeps only where chunks open.
     """
-    room = lambda x: F.when(F.coalesce(x["heading"], F.lit("")) != "", F.char_length(x["heading"]) + 1).otherwise(F.lit(0))
-    mid = lambda x: (x["type"] == "table") & (F.coalesce(x["table_header"], F.lit("")) != "") & ~x["is_header"]
-
-    def opened(x: Column, ps: Column, pe: Column) -> Column:
-        header = F.when(mid(x), F.char_length(x["table_header"]) + 1).otherwise(F.lit(0))
-        own = room(x) + header
-        fallback = F.when((own == 0) & ps.isNotNull(), pe - ps + 1).otherwise(F.lit(0))
-        fallback = F.when(fallback == 1, F.lit(0)).otherwise(fallback)
-        cost = F.when(x["type"] == "heading", F.lit(0)).otherwise(own + fallback) if context else F.lit(0)
-        bare = F.lit(not context) | (x["type"] == "heading")
-        return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), F.greatest(F.lit(size) - cost, x["end"] - x["start"]).cast("int").alias("budget"),
-            F.when(~bare, x["heading"]).alias("heading"), F.when(~bare & mid(x), x["table_header"]).alias("table_header"),
-            F.when(~bare & (own == 0), ps).cast("int").alias("prev_start"), F.when(~bare & (own == 0), pe).cast("int").alias("prev_end"),
-            ((x["type"] == "table") & F.lit(context)).alias("rows_only"), (x["is_header"] & F.lit(context)).alias("header_only"),
-            x["start"].alias("last_start"), x["end"].alias("last_end"), F.lit(False).alias("full"),
-        )
-
-    kept = ["start", "end", "heading", "table_header", "prev_start", "prev_end"]
-    chunk = "start:int,end:int,budget:int,heading:string,table_header:string,prev_start:int,prev_end:int,rows_only:boolean,header_only:boolean,last_start:int,last_end:int,full:boolean"
-    zero = F.struct(F.lit(None).cast(f"struct<{chunk}>").alias("open"), F.array().cast(SPAN).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        o = s["open"]
-        table = x["type"] == "table"
-        fits = x["end"] - o["start"] <= o["budget"]
-        forced = o["header_only"] & table & ~fits
-        takes = o.isNotNull() & ~o["full"] & (~o["rows_only"] | table) & (fits | forced)
-        more = F.struct(*[o[k].alias(k) for k in ("start",)], x["end"].alias("end"), *[o[k].alias(k) for k in ("budget", "heading", "table_header", "prev_start", "prev_end", "rows_only")], F.lit(False).alias("header_only"), x["start"].alias("last_start"), x["end"].alias("last_end"), forced.alias("full"))
-        closed = F.concat(s["out"], F.array(F.struct(*[o[k].alias(k) for k in kept])))
-        fresh = opened(x, o["last_start"], o["last_end"])
-        return F.struct(F.when(F.coalesce(takes, F.lit(False)), more).otherwise(fresh).cast(f"struct<{chunk}>").alias("open"), F.when(F.coalesce(takes, F.lit(False)) | o.isNull(), s["out"]).otherwise(closed).cast(SPAN).alias("out"))
-
-    def finish(s: Column) -> Column:
-        o = s["open"]
-        return F.when(o.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(*[o[k].alias(k) for k in kept]))))
-
-    return F.aggregate(u, zero, step, finish)
-
-
-def structural_spans(found: DataFrame, documents: DataFrame, config: ChunkingConfig) -> DataFrame:
-    """document_id, start_char, end_char, context_prefix for every packed span."""
-    cut = pieces(found, documents, config.max_chunk_size)
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    inner = lambda x: (x["type"] == "table") & filled(x["table_header"]) & ~x["is_header"]
+    width = lambda c, there: F.when(there, F.char_length(c) + 1).otherwise(F.lit(0))
+    own = lambda x: width(x["heading"], filled(x["heading"])) + width(x["table_header"], inner(x))
+
+    def priced(x: Column, i: Column) -> Column:
+        before = F.get(u, i - 1)
+        fallback = F.when((own(x) == 0) & (before["end"] > before["start"]), before["end"] - before["start"] + 1).otherwise(F.lit(0))
+        cost = F.when(x["type"] == "heading", F.lit(0)).otherwise(own(x) + fallback) if context else F.lit(0)
+        return F.struct(x["start"].alias("s"), x["end"].alias("e"), F.greatest(size - cost, x["end"] - x["start"]).cast("int").alias("budget"), (x["type"] == "table").alias("table"), x["is_header"].alias("header"))
+
+    state = "struct<at:int,s:int,budget:int,rows_only:boolean,header_only:boolean,full:boolean,out:array<int>>"
+
+    def step(o: Column, x: Column) -> Column:
+        fits = x["e"] - o["s"] <= o["budget"]
+        forced = o["header_only"] & x["table"] & ~fits
+        takes = F.coalesce((F.size(o["out"]) > 0) & ~o["full"] & (~o["rows_only"] | x["table"]) & (fits | forced), F.lit(False))
+        at = (o["at"] + 1).alias("at")
+        more = F.struct(at, o["s"].alias("s"), o["budget"].alias("budget"), o["rows_only"].alias("rows_only"), F.lit(False).alias("header_only"), forced.alias("full"), o["out"].alias("out"))
+        fresh = F.struct(at, x["s"].alias("s"), x["budget"].alias("budget"), (x["table"] & context).alias("rows_only"), (x["header"] & context).alias("header_only"), F.lit(False).alias("full"), F.concat(o["out"], F.array(o["at"])).alias("out"))
+        return F.when(takes, more).otherwise(fresh).cast(state)
+
+    none, no = F.lit(None).cast("int"), F.lit(False)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("s"), none.alias("budget"), no.alias("rows_only"), no.alias("header_only"), no.alias("full"), F.array().cast("array<int>").alias("out")).cast(state)
+
+    def span(opens: Column):
+        def one(b: Column, j: Column) -> Column:
+            x, before, last = F.get(u, b), F.get(u, b - 1), F.get(u, F.coalesce(F.get(opens, j + 1), F.size(u)) - 1)
+            bare = F.lit(not context) | (x["type"] == "heading")
+            return F.struct(
+                x["start"].alias("start"), last["end"].alias("end"), F.when(~bare, x["heading"]).alias("heading"), F.when(~bare & inner(x), x["table_header"]).alias("table_header"),
+                F.when(~bare & (own(x) == 0), before["start"]).alias("prev_start"), F.when(~bare & (own(x) == 0), before["end"]).alias("prev_end"))
+
+        return F.transform(opens, one)
+
+    return T.let(F.aggregate(F.transform(u, priced), zero, step, lambda o: o["out"]), span)
+
+
+def packed_spans(found: DataFrame, config: ChunkingConfig) -> DataFrame:
+    """(document_id, spans): one row for each document with units."""
+    cut = pieces(found, config.max_chunk_size)
     ordered = cut.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "piece_no", "start", "end", "type", "heading", "table_header", "is_header"))).alias("u"))
-    packed = ordered.select("document_id", F.explode(pack(F.col("u"), config.max_chunk_size, config.propagate_context)).alias("s")).join(documents.select("document_id", "full_text"), "document_id")
-    previous = F.when(F.col("s.prev_start").isNotNull(), F.substr("full_text", F.col("s.prev_start") + 1, F.col("s.prev_end") - F.col("s.prev_start")))
-    blank = lambda c: F.when(c != "", c)
-    prefix = F.concat_ws("\n", blank(F.col("s.heading")), blank(F.col("s.table_header")), blank(previous))
-    return packed.select("document_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), prefix.alias("context_prefix"))
+    return ordered.select("document_id", pack(F.col("u"), config.max_chunk_size, config.propagate_context).alias("spans"))
 
 
-def chunk_documents(documents: DataFrame, config: ChunkingConfig | None = None, blocks: DataFrame | None = None) -> DataFrame:
+def chunk_documents(documents: DataFrame, config: ChunkingConfig | None = None, blocks: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
     """The chunks of normalized documents: ids, spans, text, pages, counts and context.
 
-    ``documents``: document_id, full_text, pages (with start and end); ``blocks`` are needed
-    for structural packing.  Blank chunks are left out and indices stay gapless.
+    ``documents``: document_id, full_text, pages (with start and end); ``blocks`` (or their
+    ``units`` as ``elements``) are needed for structural packing.  Blank chunks are left out
+    and indices stay gapless.  A document is cut in its own row, so its text is neither
+    joined to its chunks nor shuffled with them.
     """
     config = config or ChunkingConfig()
     if config.is_structural:
-        spans = structural_spans(units(documents, blocks), documents, config)
+        rows = documents.join(packed_spans(units(documents, blocks) if elements is None else elements, config), "document_id")
     else:
-        cut = char_spans(F.char_length("full_text"), config.max_chunk_size, config.overlap_size)
-        spans = documents.select("document_id", F.explode(cut).alias("s")).select("document_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.lit("").alias("context_prefix"))
-    out = spans.join(documents.select("document_id", "full_text", "pages"), "document_id")
-    out = out.withColumn("text", F.substr("full_text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).where(T.strip(F.col("text")) != "")
-    at = Window.partitionBy("document_id").orderBy("start_char", "end_char")
-    met = F.filter("pages", lambda p: (p["start"] < F.col("end_char")) & (p["end"] > F.col("start_char")))
-    out = out.withColumn("chunk_index", (F.row_number().over(at) - 1).cast("int"))
+        rows = documents.withColumn("spans", char_spans(F.char_length("full_text"), config.max_chunk_size, config.overlap_size))
+    body = lambda s, e: F.substr("full_text", s + 1, e - s)
+    places = F.transform("pages", lambda p: F.struct(p["page_number"].alias("n"), p["start"].alias("start"), p["end"].alias("end")))
+
+    def cut(s: Column, pages: Column) -> Column:
+        prefix = F.lit("")
+        if config.is_structural:
+            blank = lambda c: F.when(c != "", c)
+            prefix = F.concat_ws("\n", blank(s["heading"]), blank(s["table_header"]), blank(body(s["prev_start"], s["prev_end"])))
+        met = F.transform(F.filter(pages, lambda p: (p["start"] < s["end"]) & (p["end"] > s["start"])), lambda p: p["n"])
+        return F.struct(s["start"].alias("start_char"), s["end"].alias("end_char"), body(s["start"], s["end"]).alias("text"), met.alias("page_numbers"), prefix.alias("context_prefix"))
+
+    made = T.let(places, lambda pages: F.filter(F.transform("spans", lambda s: cut(s, pages)), lambda c: T.strip(c["text"]) != ""))
+    out = rows.select("document_id", F.posexplode(made).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
     return out.select(
         "document_id", F.concat_ws("_", "document_id", F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "start_char", "end_char", "text",
-        F.transform(met, lambda p: p["page_number"]).alias("page_numbers"), T.count_words(F.col("text")).alias("word_count"), T.count_chars(F.col("text")).alias("char_count"),
+        "page_numbers", T.count_words(F.col("text")).alias("word_count"), T.count_chars(F.col("text")).alias("char_count"),
         "context_prefix", T.contextualized(F.col("context_prefix"), F.col("text")).alias("contextualized_text"),
     )
 

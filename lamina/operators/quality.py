@@ -20,20 +20,27 @@ TINY = 0.1
 
 
 def split_counts(documents: DataFrame, chunks: DataFrame, elements: DataFrame) -> DataFrame:
-    """(document_id, word_splits, bullet_splits, table_row_splits): chunk edges inside units, by the unit's type."""
-    sizes = documents.select("document_id", "full_text", F.char_length("full_text").alias("size"))
-    edges = chunks.select("document_id", F.explode(F.array("start_char", "end_char")).alias("b")).distinct().join(sizes, "document_id").where("b > 0 and b < size")
-    inside = elements.select(F.col("document_id").alias("_d"), "start", "end", "type")
-    met = edges.join(inside, (edges["document_id"] == inside["_d"]) & (F.col("start") < F.col("b")) & (F.col("b") < F.col("end")))
-    prose = F.col("type").isin("heading", "paragraph")
+    """(document_id, word_splits, bullet_splits, table_row_splits): chunk edges inside units, by the unit's type.
+
+    Units don't overlap, so an edge can only be inside the last one that starts before it:
+    an as-of join, done by one window over edges and units in order of place.
+    """
+    edges = chunks.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("start_char", "end_char")))).alias("b"))
+    inside = F.filter("b", lambda b: (b > 0) & (b < F.char_length("full_text")))
+    told = F.transform(inside, lambda b: F.struct(b.alias("at"), splits_word(F.col("full_text"), b).alias("word")))
+    edges = edges.join(documents.select("document_id", "full_text"), "document_id").select("document_id", F.explode(told).alias("e")).select("document_id", "e.at", F.lit(0).alias("kind"), "e.word", F.lit(None).cast("struct<end:int,type:string>").alias("unit"))
+    starts = elements.select("document_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("word"), F.struct("end", "type").alias("unit"))
+    at = Window.partitionBy("document_id").orderBy("at", "kind", "unit.end")
+    met = edges.unionByName(starts).withColumn("unit", F.last("unit", True).over(at)).where("kind = 0 and at < unit.end")
+    prose = F.col("unit.type").isin("heading", "paragraph")
     count = lambda c: F.sum(c.cast("int")).cast("int")
     return met.groupBy("document_id").agg(
-        count(prose & splits_word(F.col("full_text"), F.col("b"))).alias("word_splits"), count(F.col("type") == "list").alias("bullet_splits"), count(F.col("type") == "table").alias("table_row_splits"))
+        count(prose & F.col("word")).alias("word_splits"), count(F.col("unit.type") == "list").alias("bullet_splits"), count(F.col("unit.type") == "table").alias("table_row_splits"))
 
 
-def evaluate_quality(documents: DataFrame, chunks: DataFrame, config: ChunkingConfig, blocks: DataFrame) -> DataFrame:
-    """One row for each document with the metrics that tell strategies apart."""
-    elements = units(documents, blocks)
+def evaluate_quality(documents: DataFrame, chunks: DataFrame, config: ChunkingConfig, blocks: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """One row for each document with the metrics that tell strategies apart; ``elements``: the units, if they are made already."""
+    elements = durable(units(documents, blocks), "units") if elements is None else elements
     at = Window.partitionBy("document_id").orderBy("pos")
     rows = with_pos(chunks).withColumn("redundant", F.greatest(F.lit(0), F.col("end_char") - F.lead("start_char").over(at)))
     opening = elements.groupBy("document_id").agg(F.min_by("start", "unit_no").alias("opening"))
@@ -43,11 +50,10 @@ def evaluate_quality(documents: DataFrame, chunks: DataFrame, config: ChunkingCo
     prefixed = F.coalesce("context_prefix", F.lit("")) != ""
     total = lambda c: F.sum(c.cast("long"))
     agg = rows.groupBy("document_id").agg(
-        F.count(F.lit(1)).cast("int").alias("chunk_count"), F.avg(F.col("char_count") / F.lit(config.max_chunk_size)).alias("avg_utilization"),
-        total(F.col("char_count") < config.max_chunk_size * TINY).cast("int").alias("tiny_chunk_count"), total(F.col("char_count")).alias("chars"), total(F.col("redundant")).alias("redundant"),
+        F.count(F.lit(1)).cast("int").alias("chunk_count"), total(F.col("char_count") < config.max_chunk_size * TINY).cast("int").alias("tiny_chunk_count"), total(F.col("char_count")).alias("chars"), total(F.col("redundant")).alias("redundant"),
         total(F.char_length("contextualized_text")).alias("delivered"), total(F.when(prefixed, F.char_length("context_prefix") + 1).otherwise(0)).alias("injected"),
         total(needs).alias("needing"), total(needs & prefixed).alias("satisfied"))
-    broken = validate_chunks(documents, chunks, config, blocks).select("document_id").distinct().withColumn("broken", F.lit(True))
+    broken = validate_chunks(documents, chunks, config, blocks, elements).select("document_id").distinct().withColumn("broken", F.lit(True))
     out = documents.select("document_id").join(agg, "document_id", "left").join(split_counts(documents, chunks, elements), "document_id", "left").join(broken, "document_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ratio = lambda a, b: F.when(zero(b) > 0, zero(a) / zero(b)).otherwise(F.lit(0.0))
@@ -61,18 +67,18 @@ def evaluate_quality(documents: DataFrame, chunks: DataFrame, config: ChunkingCo
     in_context = config.is_structural and config.propagate_context
     return out.select(
         "document_id", F.lit(config.chunking_strategy).alias("chunking_strategy"), F.lit(config.propagate_context).alias("propagate_context"), F.col("broken").isNull().alias("is_valid"),
-        zero("chunk_count").alias("chunk_count"), F.coalesce("avg_utilization", F.lit(0.0)).alias("avg_utilization"), zero("tiny_chunk_count").alias("tiny_chunk_count"), ratio("tiny_chunk_count", "chunk_count").alias("tiny_chunk_ratio"),
+        zero("chunk_count").alias("chunk_count"), F.coalesce(F.col("chars") / (F.col("chunk_count") * config.max_chunk_size), F.lit(0.0)).alias("avg_utilization"), zero("tiny_chunk_count").alias("tiny_chunk_count"), ratio("tiny_chunk_count", "chunk_count").alias("tiny_chunk_ratio"),
         zero("word_splits").alias("word_splits"), zero("bullet_splits").alias("bullet_splits"), zero("table_row_splits").alias("table_row_splits"),
         overhead.alias("context_overhead"), F.lit(source).alias("overhead_source"), (covered if in_context else F.lit(None).cast("double")).alias("context_coverage"))
 
 
 def compare_strategies(documents: DataFrame, blocks: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The quality rows of several registered strategies, with a ``label``."""
-    rows = []
+    elements, rows = durable(units(documents, blocks), "units"), []
     for name in names or list(STRATEGIES):
         label, config = STRATEGIES[name]
-        chunks = durable(chunk_documents(documents, config, blocks), "chunks")
-        rows.append(durable(evaluate_quality(documents, chunks, config, blocks).withColumn("label", F.lit(label)), "quality"))
+        chunks = durable(chunk_documents(documents, config, elements=elements), "chunks")
+        rows.append(evaluate_quality(documents, chunks, config, elements=elements).withColumn("label", F.lit(label)))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -91,10 +97,12 @@ def comparison_cells(quality: DataFrame) -> DataFrame:
 
 
 def format_quality_comparison(quality: DataFrame) -> str:
-    """The comparison of one document as text; empty without rows."""
-    rows = comparison_cells(quality).orderBy("document_id", "line").collect()  # nine rows a document
+    """The comparison of one document as text; empty without rows, ValueError for more than one document."""
+    rows = comparison_cells(quality).orderBy("document_id", "line").limit(10).collect()  # nine rows a document
     if not rows:
         return ""
+    if len({r["document_id"] for r in rows}) > 1:
+        raise ValueError("quality holds more than one document")
     labels = [c for c in rows[0].asDict() if c not in ("document_id", "line", "metric") and any(r[c] for r in rows)]
     table = [["Metric", *labels], *([r["metric"], *(r[c] or "" for c in labels)] for r in rows)]
     widths = [max(len(r[i]) for r in table) for i in range(len(table[0]))]

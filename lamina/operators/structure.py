@@ -80,9 +80,10 @@ def _finished(blocks: DataFrame) -> DataFrame:
 
 
 def _with_regions(lines: DataFrame, stop: Column, start: Column) -> DataFrame:
-    found = table_regions(lines, stop, start).withColumnsRenamed({c: f"_{c}" for c in PAGE})
-    inside = [F.col(c) == F.col(f"_{c}") for c in PAGE] + [F.col("line_no") >= F.col("region_start"), F.col("line_no") < F.col("region_stop")]
-    return lines.join(found, inside, "left").drop(*[f"_{c}" for c in PAGE])
+    """``lines`` with region_start, columns, rows and pipes where a table holds them; each table tells its lines, so it is an equi-join."""
+    found = table_regions(lines, stop, start)
+    held = found.select(*PAGE, "region_start", "columns", "rows", "pipes", F.explode(F.sequence("region_start", F.col("region_stop") - 1)).alias("line_no"))
+    return lines.join(held, [*PAGE, "line_no"], "left")
 
 
 def line_blocks(pages: DataFrame) -> DataFrame:
@@ -142,9 +143,11 @@ def normalized_documents(pages: DataFrame, blocks: DataFrame, structured: bool)
     """(documents, page blocks): canonical text of each document, and its content blocks with page-local spans.
 
     documents: document_id, full_text, pages (array of page_number, text, start, end).
-    Pages without blocks stay, empty.
+    Pages without blocks stay, empty.  Running lines are left out; a block of a type that is
+    none of the four kinds of content is an error.
     """
-    content = blocks.where(~F.col("type").isin("page_header", "page_footer"))
+    kind = F.when(F.col("type").isin("heading", "paragraph", "list", "table"), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("unexpected block type: "), F.coalesce("type", F.lit("null")))))
+    content = blocks.where("type is null or type not in ('page_header', 'page_footer')").withColumn("type", kind)
     at = Window.partitionBy(*PAGE).orderBy("block_seq")
     follows = F.lag("type").over(at)
     blank = F.lit(False) if structured else F.col("after_blank")
@@ -165,16 +168,28 @@ def normalized_documents(pages: DataFrame, blocks: DataFrame, structured: bool)
     return docs.select("document_id", "full_text", page_spans(F.col("p"), F.col("full_text")).alias("pages")), placed.drop("sep")
 
 
+def normalize_documents(pages: DataFrame, structured: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, page blocks) straight from pages (document_id, page_number, text), by either reading."""
+    blocks = structured_blocks(pages) if structured else line_blocks(pages)
+    return normalized_documents(pages, blocks, structured)
+
+
 def page_spans(pages: Column, full_text: Column) -> Column:
     """page_number, text, start, end for each page, searched from the end of the one before; empty ones have no width."""
-    kind = "array<struct<page_number:int,text:string,start:int,end:int>>"
-
     def step(s: Column, p: Column) -> Column:
         found = F.position(p["text"], full_text, s["at"] + 1) - 1
         ok = (p["text"] != "") & (found >= 0)
         start = F.when(ok, found).otherwise(s["at"]).cast("int")
-        end = F.when(ok, found + F.char_length(p["text"])).otherwise(s["at"]).cast("int")
-        row = F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+        return T.let(start, lambda x: F.struct((x + F.when(ok, F.char_length(p["text"])).otherwise(0)).cast("int").alias("at"), F.concat(s["out"], F.array(x)).alias("out"), F.concat(s["wide"], F.array(ok)).alias("wide")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"), F.array().cast("array<boolean>").alias("wide"))
+
+    def placed(s: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            start = F.get(s["out"], i)
+            end = start + F.when(F.get(s["wide"], i), F.char_length(p["text"])).otherwise(0)
+            return F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text"), start.alias("start"), end.cast("int").alias("end"))
+
+        return F.transform(pages, one)
 
-    return F.aggregate(pages, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+    return T.let(F.aggregate(pages, zero, step, lambda s: F.struct(s["out"].alias("out"), s["wide"].alias("wide"))), placed)

@@ -60,9 +60,12 @@ def check_coverage(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def check_traceability(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    both = chunks.join(documents.select("document_id", "full_text"), "document_id")
-    bad = both.where(F.substr("full_text", F.greatest(F.col("start_char"), F.lit(0)) + 1, F.greatest(F.col("end_char") - F.greatest(F.col("start_char"), F.lit(0)), F.lit(0))) != F.col("text"))
-    return _issues(bad, "traceability", F.lit("the text is not what its span holds"))
+    """A chunk's text must be what its span holds; compared in the row of its document."""
+    listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct("chunk_index", "start_char", "end_char", "text")).alias("c"))
+    first = lambda c: F.greatest(c["start_char"], F.lit(0))
+    held = lambda c: F.substr("full_text", first(c) + 1, F.greatest(c["end_char"] - first(c), F.lit(0)))
+    bad = documents.join(listed, "document_id").select("document_id", F.explode(F.filter("c", lambda c: held(c) != c["text"])).alias("c"))
+    return _issues(bad.select("document_id", "c.chunk_index"), "traceability", F.lit("the text is not what its span holds"))
 
 
 def check_offsets(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -81,11 +84,15 @@ def check_element_order(elements: DataFrame) -> DataFrame:
 
 
 def check_atomic_coverage(elements: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """Every unit that fits a chunk must lie in exactly one; compared in the row of its document, so no row is made for a pair."""
     small = elements.where((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") <= size)).select("document_id", "unit_no", "start", "end")
-    spans = chunks.select(F.col("document_id").alias("_d"), "start_char", "end_char")
-    met = small.join(spans, (small["document_id"] == spans["_d"]) & (F.col("start_char") <= F.col("start")) & (F.col("end_char") >= F.col("end")), "left")
-    held = met.groupBy("document_id", "unit_no", "start", "end").agg(F.count("start_char").alias("n"))
-    return _issues(held.where("n <> 1"), "atomic_element_coverage", F.format_string("element %d-%d is in %d chunks", "start", "end", "n"), None)
+    spans = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("c"))
+    listed = small.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "unit_no"))).alias("u"))
+    met = lambda u: F.size(F.filter("c", lambda c: (c["start_char"] <= u["start"]) & (c["end_char"] >= u["end"])))
+    counted = F.transform("u", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), met(u).alias("n")))
+    both = listed.join(spans, "document_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<start_char:int,end_char:int>>")))
+    bad = both.select("document_id", F.explode(F.filter(counted, lambda u: u["n"] != 1)).alias("u")).select("document_id", "u.*")
+    return _issues(bad, "atomic_element_coverage", F.format_string("element %d-%d is in %d chunks", "start", "end", "n"), None)
 
 
 def check_structural_integrity(cut: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -94,12 +101,15 @@ def check_structural_integrity(cut: DataFrame, chunks: DataFrame) -> DataFrame:
     return _issues(sides.join(edges, ["document_id", "edge"], "left_anti").dropDuplicates(["document_id", "chunk_index"]), "structural_integrity", F.lit("an edge is no boundary of a piece"))
 
 
-def validate_chunks(documents: DataFrame, chunks: DataFrame, config: ChunkingConfig, blocks: DataFrame | None = None) -> DataFrame:
-    """All issues of the chunks of ``documents``; none if they are valid."""
+def validate_chunks(documents: DataFrame, chunks: DataFrame, config: ChunkingConfig, blocks: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """All issues of the chunks of ``documents``; none if they are valid.
+
+    ``elements``: the units, if they are made already.
+    """
     found = [check_order(chunks)]
     if config.is_structural:
-        elements = units(documents, blocks)
-        cut = pieces(elements, documents, config.max_chunk_size)
+        elements = units(documents, blocks) if elements is None else elements
+        cut = pieces(elements, config.max_chunk_size)
         allowed = cut.where(F.col("end") - F.col("start") > config.max_chunk_size).select("document_id", "start", "end")
         if config.propagate_context:
             allowed = allowed.unionByName(header_pairs(elements, config.max_chunk_size))
@@ -154,3 +164,17 @@ def validate_blocks(blocks: DataFrame, full_text: DataFrame, pages: DataFrame |
         lost = lost_tokens(pages, blocks)
         found.append(_issues(lost, "lossless_content", F.concat(F.col("missing").cast("string"), F.lit(" tokens lost: "), F.array_join("first", " ")), None))
     return reduce(DataFrame.unionByName, found)
+
+
+def require_valid(issues: DataFrame, most: int = 1000) -> None:
+    """Raise ValueError with the messages of ``issues`` if there are any: all of them up to ``most``, and how many more."""
+    found = issues.orderBy("document_id", "invariant", "chunk_index", "message").limit(most + 1).collect()
+    if found:
+        lines = [f"{r['document_id']} [{r['invariant']}]" + (f" chunk {r['chunk_index']}" if r["chunk_index"] is not None else "") + f": {r['message']}" for r in found[:most]]
+        rest = [f"and {issues.count() - most} more"] if len(found) > most else []
+        raise ValueError("validation failed:\n" + "\n".join(lines + rest))
+
+
+def require_spans(blocks: DataFrame, full_text: DataFrame) -> None:
+    """Raise ValueError if a block's span doesn't hold its text."""
+    require_valid(validate_blocks(blocks, full_text).where("invariant = 'span_equality'"))
