@@ -1,4 +1,4 @@
-"""Registry of the structuring and chunking queries and of the SQL that checks them."""
+"""Registry of the structuring and chunking queries; the SQL that checks them is in ``oracle``."""
 
 from __future__ import annotations
 
@@ -13,16 +13,32 @@ from lamina.operators.chunk import chunk_documents, header_pairs, pieces, units
 from lamina.operators.noise import noise_lines
 from lamina.operators.quality import comparison_cells, compare_strategies, evaluate_quality
 from lamina.operators.validate import lost_tokens, validate_blocks, validate_chunks
-from lamina.schemas import STRATEGIES
+from lamina.schemas import STRATEGIES, ChunkingConfig
 from lamina.sources.durable import durable
-from lamina.sources.pages import conversation_pages, document_pages, extracted_documents
+from lamina.sources.pages import conversation_pages, document_pages, extracted_documents, html_pages
 from lamina.sources.sinks import from_json, to_json
 
+from . import oracle
+
 V1, V21, V22 = (STRATEGIES[k][1] for k in ("v1.0", "v2.1", "v2.2"))
 
 
+def minutes_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations laid out as minutes: running lines on every page, numbered headings, lists of what users say, tables.
+
+    Each turn is a page with all of its text, so the structuring queries meet every kind of block.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("t", F.coalesce("text", F.lit("")))
+    n, size = (F.col("turn") + 1).cast("string"), F.char_length("t")
+    body = F.when(F.col("role") == "user", F.concat(F.lit("• "), F.regexp_replace("t", r"\. ", ".\n• "))).otherwise(F.col("t"))
+    heading = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Section "), F.floor(F.col("turn") / 3 + 1).cast("string"), F.lit("."), n, F.lit("\n"))).otherwise("")
+    table = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("\n\nItem | Turn | Length\nfirst | "), n, F.lit(" | "), size.cast("string"), F.lit("\nother | "), (F.col("turn") + 2).cast("string"), F.lit(" | "), (size * 2).cast("string"))).otherwise("")
+    text = F.concat(F.lit("Minutes of meeting\n\n"), heading, body, table, F.lit("\n\nPage "), n)
+    return rows.select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), text.alias("text"))
+
+
 def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    pages = conversation_pages(spark, sf_dir)
+    pages = minutes_pages(spark, sf_dir)
     blocks = durable(S.structured_blocks(pages), "blocks")
     documents, placed = S.normalized_documents(pages, blocks, True)
     return pages, blocks, durable(documents, "documents"), durable(placed, "placed")
@@ -42,6 +58,10 @@ def page_stats(spark, sf_dir):
     return conversation_pages(spark, sf_dir).select("document_id", "page_number", T.count_words(F.col("text")).cast("int").alias("word_count"), T.count_chars(F.col("text")).cast("int").alias("char_count"))
 
 
+def html_page_lines(spark, sf_dir):
+    return html_pages(spark, sf_dir).select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
 def document_stats(spark, sf_dir):
     pages = conversation_pages(spark, sf_dir)
     words = pages.groupBy("document_id").agg(F.sum(T.count_words(F.col("text"))).cast("long").alias("word_count"))
@@ -67,8 +87,7 @@ def line_types(spark, sf_dir):
 
 
 def noise(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
-    lines = docs.select("document_id", "page_number", F.posexplode(F.split(T.preprocess(F.coalesce("text", F.lit(""))), "\n", -1)).alias("line_no", "raw"))
+    lines = minutes_pages(spark, sf_dir).select("document_id", "page_number", F.posexplode(F.split(T.preprocess(F.col("text")), "\n", -1)).alias("line_no", "raw"))
     return noise_lines(lines)
 
 
@@ -85,11 +104,11 @@ def sentence_spans(spark, sf_dir):
 
 
 def structured_blocks(spark, sf_dir):
-    return S.structured_blocks(conversation_pages(spark, sf_dir))
+    return S.structured_blocks(minutes_pages(spark, sf_dir))
 
 
 def line_blocks(spark, sf_dir):
-    return S.line_blocks(conversation_pages(spark, sf_dir))
+    return S.line_blocks(minutes_pages(spark, sf_dir))
 
 
 def table_blocks(spark, sf_dir):
@@ -98,22 +117,29 @@ def table_blocks(spark, sf_dir):
 
 def normalized_pages(spark, sf_dir):
     _, _, documents, _ = _structured(spark, sf_dir)
-    return documents.select("document_id", "full_text", F.explode("pages").alias("p")).select("document_id", "p.page_number", F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.substr("full_text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("text"))
+    page = F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["start"].alias("start_char"), p["end"].alias("end_char"), F.substr("full_text", p["start"] + 1, p["end"] - p["start"]).alias("text")))
+    return documents.select("document_id", F.explode(page).alias("p")).select("document_id", "p.*")
+
+
+def line_documents(spark, sf_dir):
+    """The ``line`` reading of whole documents, as one call gives it."""
+    documents, _ = S.normalize_documents(minutes_pages(spark, sf_dir), structured=False)
+    return documents.select("document_id", "full_text", F.size("pages").alias("page_count"))
 
 
 def structural_units(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    return units(documents, blocks)
+    return units(documents, blocks).drop("text")
 
 
 def structural_pieces(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    return pieces(units(documents, blocks), documents, 200)
+    return pieces(units(documents, blocks), 200)
 
 
 def forced_header_pairs(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    return header_pairs(units(documents, blocks), 40)
+    return header_pairs(units(documents, blocks), 30)
 
 
 def structural_chunks_v21(spark, sf_dir):
@@ -126,6 +152,12 @@ def context_chunks_v22(spark, sf_dir):
     return chunk_documents(documents, V22, blocks)
 
 
+def small_context_chunks(spark, sf_dir):
+    """Chunks too small for a table's header and row, for long sentences and for many prefixes."""
+    _, _, documents, blocks = _structured(spark, sf_dir)
+    return chunk_documents(documents, ChunkingConfig(30, 0, "structural", True), blocks).select("document_id", "chunk_index", "start_char", "end_char", "context_prefix")
+
+
 def page_attribution(spark, sf_dir):
     return structural_chunks_v21(spark, sf_dir).select("chunk_id", F.explode("page_numbers").alias("page_number"))
 
@@ -140,27 +172,47 @@ def chunk_issues(spark, sf_dir):
 
 
 def chunk_validation(spark, sf_dir):
+    """Issues of structural chunks of which every third lost its last two characters; the others are valid."""
     _, _, documents, blocks = _structured(spark, sf_dir)
-    issues = validate_chunks(documents, durable(chunk_documents(documents, V22, blocks), "chunks"), V22, blocks)
-    counted = issues.groupBy("document_id").agg(F.count(F.lit(1)).alias("issues"))
-    return documents.select("document_id").join(counted, "document_id", "left").select("document_id", F.coalesce("issues", F.lit(0)).alias("issues"), F.col("issues").isNull().alias("is_valid"))
+    elements = durable(units(documents, blocks), "units")
+    lost = F.col("chunk_index") % 3 == 2
+    chunks = chunk_documents(documents, V22, elements=elements).withColumns({
+        "end_char": F.when(lost, F.col("end_char") - 2).otherwise(F.col("end_char")),
+        "text": F.when(lost, F.substr("text", F.lit(1), F.char_length("text") - 2)).otherwise(F.col("text")),
+    })
+    issues = validate_chunks(documents, durable(chunks, "chunks"), V22, elements=elements)
+    return issues.groupBy("document_id", "invariant").agg(F.count(F.lit(1)).alias("issues"))
+
+
+def _damaged(blocks: DataFrame) -> DataFrame:
+    """Blocks broken on purpose, by their place in the page: texts, ids, table rows and list items."""
+    at = F.col("block_seq")
+    return blocks.withColumns({
+        "text": F.when((at == 1) & (F.col("page_number") % 4 == 1), F.lit(" ")).otherwise(F.col("text")),
+        "block_id": F.when(at == 2, F.lit("block_002")).otherwise(F.col("block_id")),
+        "rows": F.transform("rows", lambda r, i: F.when(i == 0, F.slice(r, 1, 2)).otherwise(r)),
+        "items": F.when(F.col("page_number") % 5 == 2, F.transform("items", lambda x, i: F.when(i == 0, F.lit("")).otherwise(x))).otherwise(F.col("items")),
+    })
 
 
 def block_issues(spark, sf_dir):
-    pages = conversation_pages(spark, sf_dir)
+    pages = minutes_pages(spark, sf_dir)
     blocks = durable(S.structured_blocks(pages), "blocks")
-    return validate_blocks(blocks, S.structured_text(blocks), pages)
+    broken = durable(_damaged(blocks), "broken")
+    return validate_blocks(broken, S.structured_text(blocks)).groupBy("document_id", "invariant").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lossless_tokens(spark, sf_dir):
-    pages = conversation_pages(spark, sf_dir)
+    """What is lost if every third block of a page is left out."""
+    pages = minutes_pages(spark, sf_dir)
     blocks = durable(S.structured_blocks(pages), "blocks")
-    return lost_tokens(pages, blocks)
+    return lost_tokens(pages, blocks.where("block_seq % 3 <> 2"))
 
 
 def quality_report(spark, sf_dir):
     _, _, documents, blocks = _structured(spark, sf_dir)
-    return evaluate_quality(documents, durable(chunk_documents(documents, V22, blocks), "chunks"), V22, blocks)
+    elements = durable(units(documents, blocks), "units")
+    return evaluate_quality(documents, durable(chunk_documents(documents, V22, elements=elements), "chunks"), V22, elements=elements)
 
 
 def strategy_comparison(spark, sf_dir):
@@ -169,7 +221,7 @@ def strategy_comparison(spark, sf_dir):
 
 
 def json_documents(spark, sf_dir):
-    blocks = durable(S.structured_blocks(conversation_pages(spark, sf_dir)), "blocks")
+    blocks = durable(S.structured_blocks(minutes_pages(spark, sf_dir)), "blocks")
     return from_json(to_json(blocks, S.structured_text(blocks)))
 
 
@@ -190,8 +242,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
-    page_stats, document_stats, preprocess_text, inline_normalize, line_classes, line_types, noise, char_chunks_v1, char_chunk_stats, sentence_spans, structured_blocks, line_blocks, table_blocks,
-    normalized_pages, structural_units, structural_pieces, forced_header_pairs, structural_chunks_v21, context_chunks_v22, page_attribution, chunk_issues, chunk_validation, block_issues,
+    page_stats, html_page_lines, document_stats, preprocess_text, inline_normalize, line_classes, line_types, noise, char_chunks_v1, char_chunk_stats, sentence_spans, structured_blocks, line_blocks, table_blocks,
+    normalized_pages, line_documents, structural_units, structural_pieces, forced_header_pairs, structural_chunks_v21, context_chunks_v22, small_context_chunks, page_attribution, chunk_issues, chunk_validation, block_issues,
     lossless_tokens, quality_report, strategy_comparison, json_documents, token_counts, page_numbers_in_order,
 ]
 
@@ -200,63 +252,5 @@ def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
-_WORD = r"[\p{L}\p{N}_]+(?:[-/''’][\p{L}\p{N}_]+)*"
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
-_CHUNKS = f"""
-WITH d AS (SELECT doc_id::VARCHAR AS document_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
-s AS (SELECT document_id, t, n, i * 900 AS a, least(i * 900 + 1000, n) AS b
-      FROM (SELECT *, unnest(range(0, greatest(0, ceil((n - 1000) / 900.0))::BIGINT + 1)) AS i FROM d WHERE n > 0)),
-c AS (SELECT document_id, a, b, substr(t, a + 1, b - a) AS text FROM s WHERE regexp_matches(substr(t, a + 1, b - a), '[^\\s]')),
-k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY a) - 1 AS i FROM c)
-"""
-
-_SQL = {
-    "page_stats": f"SELECT conv_id::VARCHAR AS document_id, (turn + 1)::INT AS page_number, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::INT AS word_count, length(coalesce(text, ''))::INT AS char_count FROM conversations",
-    "document_stats": f"SELECT conv_id::VARCHAR AS document_id, count(*)::BIGINT AS page_count, sum(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')))::BIGINT AS word_count, (sum(length(coalesce(text, ''))) + 2 * (count(*) - 1))::BIGINT AS char_count FROM conversations GROUP BY conv_id",
-    "preprocess_text": f"SELECT doc_id::VARCHAR AS document_id, {_CLEAN.format('coalesce(text, chr(39) || chr(39))')} AS text FROM documents".replace("chr(39) || chr(39)", "''"),
-    "inline_normalize": r"""
-SELECT document_id, line_no, regexp_replace(regexp_replace(regexp_replace(trim(raw, ' ' || chr(9) || chr(13)), '[ \t]+', ' ', 'g'), '[ \t]+([.,;:!?)\]}])', '\1', 'g'), '([(\[{])[ \t]+', '\1', 'g') AS text,
-       length(replace(regexp_extract(raw, '^[ \t]*', 0), chr(9), '    '))::INT AS indent
-FROM (SELECT doc_id::VARCHAR AS document_id, unnest(range(len(l)))::INT AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))""",
-    "line_classes": r"""
-WITH l AS (SELECT doc_id::VARCHAR AS document_id, unnest(range(len(l)))::INT AS line_no, trim(unnest(l), ' ' || chr(9) || chr(13)) AS c FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-w AS (SELECT *, list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '') AS w, regexp_matches(c, '^(?:[●•\-→]|\d+[.)])\s+') AS li,
-      list_filter(list_transform(CASE WHEN contains(c, '|') THEN regexp_split_to_array(c, '\s*\|\s*') ELSE regexp_split_to_array(c, '\s{2,}') END, lambda x: trim(x)), lambda x: x <> '') AS cells FROM l),
-m AS (SELECT *, regexp_matches(c, '^(?:[•⁃■●→–*\-]|\d+[.)]|\([A-Za-z0-9]+\)|[A-Za-z][.)]|\[\d+\])\s+') AS marked,
-      regexp_replace(c, '^(?:[•⁃■●→–*\-]|\d+[.)]|\([A-Za-z0-9]+\)|[A-Za-z][.)]|\[\d+\])\s+', '') AS rest,
-      regexp_matches(c, '[:.;!?]') AS dots FROM w)
-SELECT document_id, line_no, CASE WHEN marked AND rest <> '' THEN rest END AS item,
-  (CASE WHEN c = '' OR length(c) > 90 OR li THEN NULL
-        WHEN regexp_matches(c, '^[A-Z][A-Za-z]*\s+\d+(?:\.\d+)*[A-Za-z]?(?:\s*[:—–-]\s*.*)?$') THEN len(string_split(regexp_extract(c, '\d+(?:\.\d+)*', 0), '.'))
-        WHEN NOT dots AND regexp_matches(c, '^[A-Z0-9/&()''’.,\-–—\s]+$') AND len(w) BETWEEN 2 AND CASE WHEN regexp_matches(c, '\d') THEN 8 ELSE 4 END AND regexp_matches(c, '\p{L}') THEN 2
-        WHEN NOT dots AND NOT contains(c, '  ') AND len(w) BETWEEN 2 AND 5 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z'']*$'))) = 0 THEN 2 END)::INT AS level,
-  regexp_matches(c, '(?i)^(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?$') OR regexp_matches(c, '^[-–—]\s*\d{1,4}\s*[-–—]$') OR regexp_matches(c, '(?i)^[ivxlcdm]{1,6}$') AS page_number,
-  c <> '' AND NOT li AND len(cells) >= 2 AND len(list_filter(cells, lambda x: len(regexp_split_to_array(x, '\s+')) <= 4 OR regexp_matches(x, '^[\d$€£¥(),.%+\-/: ]+$'))) > 0 AS table_row, li AS list_item
-FROM m""",
-    "noise": rf"""
-WITH l AS (SELECT source AS document_id, doc_id AS page_number, unnest(range(len(l)))::INT AS line_no, trim(unnest(l), ' ' || chr(9)) AS line
-           FROM (SELECT source, doc_id, string_split({_CLEAN.format("coalesce(text, '')")}, chr(10)) AS l FROM documents)),
-p AS (SELECT document_id, count(DISTINCT page_number) AS pages FROM l GROUP BY document_id),
-f AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY line_no) AS up, row_number() OVER (PARTITION BY document_id, page_number ORDER BY line_no DESC) AS down,
-      regexp_replace(regexp_replace(lower(line), '\d+', '#', 'g'), '\s+', ' ', 'g') AS key FROM l WHERE line <> ''),
-z AS (SELECT *, 'page_header' AS zone FROM f WHERE up <= 2 UNION ALL SELECT *, 'page_footer' FROM f WHERE down <= 2),
-c AS (SELECT *, count(*) OVER (PARTITION BY document_id, zone, key) AS seen FROM z)
-SELECT document_id, page_number, line_no, min(zone) AS noise FROM c JOIN p USING (document_id)
-WHERE seen >= greatest(3, ceil(pages * 0.4)) OR regexp_matches(line, '(?i)^(?:page\s+)?\d{{1,4}}(?:\s*(?:of|/)\s*\d{{1,4}})?$') OR regexp_matches(line, '^[-–—]\s*\d{{1,4}}\s*[-–—]$') OR regexp_matches(line, '(?i)^[ivxlcdm]{{1,6}}$')
-GROUP BY ALL""",
-    "char_chunks_v1": f"{_CHUNKS} SELECT document_id, document_id || '_chunk_' || i AS chunk_id, i::INT AS chunk_index, a::INT AS start_char, b::INT AS end_char, text, len(regexp_extract_all(text, '{_WORD}'))::INT AS word_count, length(text)::INT AS char_count FROM k",
-    "char_chunk_stats": f"{_CHUNKS} SELECT document_id, count(*)::BIGINT AS chunk_count, sum(len(regexp_extract_all(text, '{_WORD}')))::BIGINT AS total_word_count, sum(length(text))::BIGINT AS total_char_count FROM k GROUP BY document_id",
-    "sentence_spans": r"""
-WITH s AS (SELECT doc_id::VARCHAR AS document_id, list_filter(string_split(regexp_replace(text, '([.!?])(\s+)', '\1\2' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
-e AS (SELECT document_id, unnest(range(len(l))) AS i, unnest(l) AS x FROM s)
-SELECT document_id, i::INT AS sentence_no, (sum(length(x)) OVER w - length(x))::INT AS start_char, (sum(length(x)) OVER w)::INT AS end_char FROM e WINDOW w AS (PARTITION BY document_id ORDER BY i)""",
-    "token_counts": r"SELECT conv_id::VARCHAR AS document_id, token, count(*)::BIGINT AS n FROM (SELECT conv_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS token FROM conversations) GROUP BY ALL",
-    "page_numbers_in_order": r"""
-WITH p AS (SELECT conv_id::VARCHAR AS document_id, (turn + 1)::INT AS page_number, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-SELECT document_id, page_number, CASE WHEN t = '' OR n = '' THEN chr(10) || chr(10) WHEN regexp_matches(t, '[.!?:]["'')\]]*\s*$') THEN chr(10) || chr(10) WHEN regexp_matches(n, '^\s*\p{Ll}') THEN ' ' ELSE chr(10) || chr(10) END AS delimiter
-FROM p WHERE n IS NOT NULL""",
-}
-
-
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return oracle.sql()

@@ -1,6 +1,7 @@
 """Structure, chunks, validation and quality on literal documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.operators import chunk as K
 from lamina.operators import quality as Q
@@ -80,16 +81,42 @@ def test_noise_needs_repetition(spark):
 def table_lines(text):
     out = []
     for raw in text.split("\n"):
-        kind = "blank" if not raw.strip() else "table_row" if "  " in raw.strip() or "|" in raw else "text"
-        out.append({"raw": raw, "text": raw.strip(), "kind": kind, "indent": len(raw) - len(raw.lstrip()), "stop": kind == "blank", "start": kind == "table_row"})
+        kind = "table_row" if "  " in raw.strip() or "|" in raw else "text"
+        out.append({"raw": raw, "text": raw.strip(), "kind": kind, "indent": len(raw) - len(raw.lstrip()), "start": kind == "table_row"})
     return out
 
 
+def tables_of(text):
+    return list(scan(table_lines(text)))
+
+
 def test_tables():
-    wrapped = scan(table_lines("Name      Role        Score\nAnn       Lead of     10\n          the team\nBob       Dev         20\n\nend"))
-    assert wrapped == [{"start": 0, "stop": 4, "columns": ["Name", "Role", "Score"], "rows": [["Ann", "Lead of the team", "10"], ["Bob", "Dev", "20"]], "pipes": [False, False]}]
-    assert scan(table_lines("a | b\nc | d | e")) == []
-    assert scan(table_lines("x | y\np | q\nr | s"))[0]["columns"] == []
+    wrapped = tables_of("Name      Role        Score\nAnn       Lead of     10\n          the team\nBob       Dev         20")
+    assert wrapped == [{"first": 0, "stop": 4, "columns": ["Name", "Role", "Score"], "rows": [["Ann", "Lead of the team", "10"], ["Bob", "Dev", "20"]], "pipes": [False, False]}]
+    assert tables_of("a | b\nc | d | e") == []
+    assert tables_of("x | y\np | q\nr | s")[0]["columns"] == []
+    assert tables_of("one line | only") == []
+
+
+def test_a_lone_piece_goes_to_the_cell_that_trails_off():
+    lone = tables_of("Name      Place       Age\nAnn       Rome,       10\nParis\nBob       Ulm         20")
+    assert lone[0]["rows"] == [["Ann", "Rome, Paris", "10"], ["Bob", "Ulm", "20"]]
+    ended = tables_of("Name      Place       Age\nAnn       Rome        10\nBob       Ulm         20\nThe end.")
+    assert ended[0]["stop"] == 3
+
+
+def test_wraps_of_several_columns_share_a_line():
+    both = tables_of("Grade           Note                     Pay\nMiddle (3-5     Sweet spot, most of      90\nyrs)                                     openings\nSenior          Rare                     120")
+    assert both[0]["rows"][0] == ["Middle (3-5 yrs)", "Sweet spot, most of", "90 openings"]
+
+
+def test_rows_are_made_rectangular(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.functions.text import rectangularize
+
+    df = spark.createDataFrame([([["a"], ["a", "b", "c"], ["d", "e", "f"]], [False, False, True])], "r array<array<string>>, p array<boolean>")
+    assert df.select(rectangularize(F.col("r"), F.lit(2), F.col("p")).alias("x")).first()["x"] == [["a", ""], ["a", "b c"], ["d", "e | f"]]
 
 
 def test_character_windows(spark):
@@ -128,7 +155,56 @@ def test_broken_chunks_are_reported(spark):
     rows = [("p", 0, 0, 5, "abcde"), ("p", 5, 6, 11, "fghij "), ("p", 2, 20, 30, "zz"), ("p", 3, 2, 4, "cd")]
     bad = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "document_id string, chunk_index int, start_char int, end_char int, text string, pos int")
     found = {r["invariant"] for r in V.validate_chunks(docs, bad, config).collect()}
-    assert found == {"order_preservation", "max_size", "non_whitespace_coverage", "traceability", "offsets"} | ({"overlap"} & found)
+    assert found == {"order_preservation", "max_size", "non_whitespace_coverage", "traceability", "offsets"}
+
+
+def issues(spark, text, spans, config):
+    """(invariant, chunk_index) of chunks given as spans of one text."""
+    rows = [("p", i, a, b, text[a:b], i) for i, (a, b) in enumerate(spans)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_index int, start_char int, end_char int, text string, pos int")
+    return sorted((r["invariant"], r["chunk_index"]) for r in V.validate_chunks(plain(spark, text), chunks, config).collect())
+
+
+def test_each_invariant_of_character_chunks(spark):
+    text, config = "abcdefghijklmnop", ChunkingConfig(8, 2)
+    assert issues(spark, text, [(0, 8), (6, 14), (12, 16)], config) == []
+    assert issues(spark, text, [(0, 8), (7, 15), (13, 16)], config) == [("overlap", 1)]
+    assert issues(spark, text, [(0, 9), (9, 16)], config) == [("max_size", 0)]
+    assert issues(spark, text, [(0, 7), (8, 16)], config) == [("non_whitespace_coverage", None)]
+    assert issues(spark, text, [(8, 16), (0, 8)], config) == [("offsets", 1), ("overlap", 1)]
+    assert ("offsets", 1) in issues(spark, text, [(0, 8), (6, 20)], config)
+
+
+def test_invalid_blocks_raise(made):
+    _, blocks, _, _ = made
+    text = durable(S.structured_text(blocks))
+    V.require_spans(blocks, text)
+    broken = blocks.selectExpr(*[c if c != "text" else "case when block_id = 'block_002' then 'other' else text end as text" for c in blocks.columns])
+    with pytest.raises(ValueError, match="span_equality"):
+        V.require_spans(durable(broken), text)
+
+
+def test_unknown_block_types_raise(made):
+    pages, blocks, _, _ = made
+    documents, _ = S.normalized_documents(pages, blocks.withColumn("type", F.lit("sidebar")), True)
+    with pytest.raises(Exception, match="unexpected block type"):
+        documents.collect()
+
+
+def test_both_readings_by_one_call(made):
+    for structured in (True, False):
+        documents, placed = S.normalize_documents(made[0], structured)
+        assert documents.count() == 2 and placed.count() > 0
+
+
+def test_json_problems(spark, made):
+    from lamina.sources.sinks import json_problems
+
+    good = to_json(made[1], S.structured_text(made[1])).select("json")
+    bad = spark.createDataFrame([("{",), ('{"document_id":"x","full_text":"","blocks":[{"block_id":"b","type":"heading","text":"t","page":1,"start":0,"end":1},{"block_id":"b","type":"list","text":"t","page":1,"start":0,"end":1}]}',)], "json string")
+    assert json_problems(good).count() == 0
+    assert sorted((r["block_id"], r["problem"]) for r in json_problems(bad).collect() if r["block_id"]) == [("b", "heading without level"), ("b", "id used twice"), ("b", "list without items")]
+    assert json_problems(bad).where("problem = 'malformed document'").count() == 1
 
 
 def test_quality(spark):
