@@ -29,7 +29,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns have
+    the results that each stage states; an empty table gives no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
