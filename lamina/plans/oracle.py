@@ -1,8 +1,8 @@
 """DuckDB SQL that checks the queries of ``catalog``: a chain of common table expressions from the tables to each result.
 
 The chain is written anew in SQL, set by set; it shares only the fixed patterns and word
-lists with the library.  Tables are read as runs of lines with the same number of cells,
-which is what the queries' pages hold.
+lists with the library.  On the minutes tables are read as runs of lines with the same number
+of cells, which is what those pages hold; ``table_blocks`` has a recursion over lines.
 """
 
 from __future__ import annotations
@@ -293,6 +293,63 @@ def _cells() -> str:
     return " UNION ALL ".join(each)
 
 
+def _nearest(offset: str, grid: str, low: str = "0") -> str:
+    """The first of the columns from ``low`` that begin closest to ``offset``."""
+    return f"(list_min(list_transform(range({low}, len({grid})), lambda k: abs({grid}[k + 1] - {offset}) * 10000 + k)) % 10000)"
+
+
+_TEXT_PAGES = "pages AS (SELECT doc_id::VARCHAR AS d, 1 AS p, coalesce(text, '') AS text FROM documents)"
+_WRAPS = r"regexp_matches({}, '(?i)(?:,|[&/\-–—]|\b(?:and|or|but|nor|yet|so|for)\b)$')"
+#: Of every line its segments (place and text), and the cells of its text; the token form counts only for an expected width.
+_SEGMENTS = rf"""
+split AS (SELECT *, CASE WHEN contains(raw, '|') THEN string_split(raw, '|') ELSE regexp_split_to_array(raw, '\s{{2,}}') END AS parts,
+          CASE WHEN contains(raw, '|') THEN list_transform(string_split(raw, '|'), lambda x: 1) ELSE list_transform(regexp_extract_all(raw, '\s{{2,}}'), lambda x: length(x)) END AS gaps FROM reading),
+segments AS (SELECT *, list_filter(list_transform(range(1, len(parts) + 1), lambda i: {{'o': coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0)::INT + coalesce(list_sum(gaps[1:i - 1]), 0)::INT + length(parts[i]) - length(ltrim(parts[i])), 't': {_inline("parts[i]")}}}), lambda x: x.t <> '') AS seg,
+             {_CELLS_OF("line_text")} AS row_cells, list_filter(list_transform(regexp_split_to_array(line_text, '\s+'), lambda x: {_inline("x")}), lambda x: x <> '') AS tokens FROM split),
+fences AS (SELECT *, sum(stop::INT) OVER (PARTITION BY d, p ORDER BY n) AS fence FROM (SELECT *, (kind = 'blank' OR noise IS NOT NULL OR item IS NOT NULL) AS stop FROM segments)),
+runs AS (SELECT *, level IS NULL AND candidate AS opens, CASE WHEN len(row_cells) >= 2 OR kind = 'text' THEN row_cells WHEN len(tokens) >= 2 THEN NULL ELSE row_cells END AS sure FROM fences WHERE NOT stop)"""
+_AS_ROW = "CASE WHEN len({0}.row_cells) < 2 AND {0}.kind <> 'text' AND len({0}.tokens) = r.width AND r.width >= 2 AND len({0}.row_cells) <> r.width THEN {0}.tokens ELSE {0}.row_cells END"
+_COLUMNS = "CASE WHEN len(x.seg) > 1 AND len(r.grid) > 1 THEN list_reduce(list_transform(x.seg, lambda g: [g.o]), lambda acc, g: list_append(acc, " + _nearest("g[1]", "r.grid", "CASE WHEN len(acc) > 0 THEN least(acc[-1] + 1, len(r.grid) - 1) ELSE 0 END").replace("::INT", "") + "::INT), []::INT[]) ELSE [1] END"
+_ROW_SET = lambda row, column, text: f"list_transform(range(1, len({row}) + 1), lambda q: CASE WHEN q = {column} + 1 THEN trim({row}[q] || ' ' || {text}) ELSE {row}[q] END)"
+_TABLES = f"""
+grown(d, p, first, i, width, grid, rows, pipes, kind, second) AS (
+  SELECT d, p, n, n, len(row_cells), CASE WHEN len(seg) > 0 THEN list_transform(seg, lambda g: g.o) ELSE [indent::INT] END, [row_cells], [contains(raw, '|')], 'row', 0 FROM runs WHERE opens AND len(row_cells) >= 2
+  UNION ALL
+  SELECT d, p, first, n, width, CASE WHEN label = 'row' AND len(seg) = len(as_row) THEN list_transform(seg, lambda g: g.o) ELSE grid END,
+         CASE label WHEN 'row' THEN list_append(rows, as_row)
+           WHEN 'wrap' THEN list_append(rows[1:len(rows) - 1], list_reduce(list_concat([rows[-1]], list_transform(pieces, lambda g: [least({_nearest('g.o', 'grid')}, len(rows[-1]) - 1)::VARCHAR, g.t])), lambda a, g: {_ROW_SET('a', 'g[1]::INT', 'g[2]')}))
+           ELSE list_append(rows[1:len(rows) - 1], {_ROW_SET('rows[-1]', 'tail', 'pieces[1].t')}) END,
+         CASE WHEN label = 'row' THEN list_append(pipes, contains(raw, '|')) ELSE pipes END, label, CASE WHEN n = first + 1 THEN len(seg) ELSE second END
+  FROM (SELECT *, CASE WHEN begins AND len(as_row) >= 2 THEN 'row' WHEN len(rows) < 2 THEN 'end' WHEN NOT begins THEN 'wrap'
+                       WHEN line_kind <> 'table_row' AND NOT regexp_matches(line_text, '{_TERMINAL}') AND (coalesce(len(next_row) >= 2, false) OR len(list_filter(rows[-1], lambda x: {_WRAPS.format('x')})) > 0) THEN 'lone' ELSE 'end' END AS label,
+          coalesce(list_max(list_filter(range(0, len(rows[-1])), lambda q: {_WRAPS.format('rows[-1][q + 1]')})), list_max(list_filter(range(0, len(rows[-1])), lambda q: NOT regexp_matches(rows[-1][q + 1], '{_NUMERIC}'))), len(rows[-1]) - 1) AS tail
+        FROM (SELECT r.*, x.n, x.raw, x.seg, x.line_text, x.kind AS line_kind, CASE WHEN len(x.seg) > 0 THEN x.seg ELSE [{{'o': x.indent::INT, 't': {_inline('x.line_text')}}}] END AS pieces,
+                CASE WHEN len(x.seg) > 1 THEN list_transform(x.seg, lambda g: g.t) ELSE {_AS_ROW.format('x')} END AS as_row, CASE WHEN y.n IS NOT NULL THEN {_AS_ROW.format('y')} END AS next_row,
+                {_nearest('x.indent', 'r.grid')} = 0 AND list_contains({_COLUMNS}, 1) AS begins
+              FROM grown r JOIN runs x ON x.d = r.d AND x.p = r.p AND x.n = r.i + 1 JOIN runs z ON z.d = r.d AND z.p = r.p AND z.n = r.first AND z.fence = x.fence
+              LEFT JOIN runs y ON y.d = x.d AND y.p = x.p AND y.n = x.n + 1 AND y.fence = x.fence)) WHERE label <> 'end'),
+whole AS (SELECT * FROM (SELECT *, max(i) OVER (PARTITION BY d, p, first) AS last FROM grown) WHERE i = last AND len(rows) >= 2),
+sound AS (SELECT * FROM whole JOIN (SELECT d, p, n AS first, x2 FROM (SELECT d, p, n, lead(len(seg)) OVER (PARTITION BY d, p ORDER BY n) AS x2 FROM segments)) USING (d, p, first) WHERE len(rows) > 2 OR x2 = len(rows[1])),
+chosen(d, p, first, last) AS (
+  SELECT d, p, min(first), arg_min(last, first) FROM sound GROUP BY d, p
+  UNION ALL SELECT c.d, c.p, min(s.first), arg_min(s.last, s.first) FROM chosen c JOIN sound s ON s.d = c.d AND s.p = c.p AND s.first > c.last GROUP BY c.d, c.p),
+tables AS (SELECT d, p, first, last, columns, list_transform(range(1, len(body) + 1), lambda k: CASE WHEN len(columns) = 0 THEN body[k] WHEN len(body[k]) > len(columns)
+             THEN list_append(body[k][1:len(columns) - 1], CASE WHEN flags[k] THEN array_to_string(body[k][len(columns):], ' | ') ELSE array_to_string(body[k][len(columns):], ' ') END)
+             ELSE list_concat(body[k], list_transform(range(0, len(columns) - len(body[k])), lambda z: '')) END) AS rows
+           FROM (SELECT d, p, first, last, CASE WHEN named THEN rows[1] ELSE [] END AS columns, CASE WHEN named THEN rows[2:] ELSE rows END AS body, CASE WHEN named THEN pipes[2:] ELSE pipes END AS flags
+                 FROM (SELECT *, len(list_filter(rows[1], lambda x: regexp_matches(x, '\\d'))) = 0 AND len(list_filter(rows[1], lambda x: len({_words('x')}) > 6)) = 0
+                       AND len(list_filter(rows[2:], lambda r: abs(len(r) - len(rows[1])) <= 1 AND len(list_filter(r, lambda x: regexp_matches(x, '\\d'))) > 0)) > 0 AS named FROM sound JOIN chosen USING (d, p, first, last))))"""
+
+
+def _tables() -> str:
+    """Blocks of free text: the structured chain with its tables replaced by those of the recursion."""
+    chain = _STRUCTURED.replace(_PAGES.strip(), _TEXT_PAGES.strip())
+    before, _, after = chain.partition("fenced AS (")
+    roled = after[after.index("roled AS ("):]
+    roled = roled.replace("FROM ran r LEFT JOIN grid g", "FROM (SELECT * FROM reading) r LEFT JOIN (SELECT * FROM tables) g").replace("r.n BETWEEN g.first AND g.last)", "r.n BETWEEN g.first AND g.last)", 1)
+    return _with(before.rstrip().rstrip(","), _SEGMENTS, _TABLES, roled)
+
+
 def sql() -> dict[str, str]:
     found = dict(_SQL)
     v22, v21 = _chunks(1000, True, "c"), _chunks(1000, False, "c")
@@ -308,6 +365,7 @@ SELECT document_id, unnest(range(len(l)))::INT AS line_no, unnest(l) AS line FRO
         "structured_blocks": _with(_STRUCTURED) + f" SELECT {_BLOCK}, after_blank, glue AS delimiter, (stop - length(text))::INT AS start_char, stop::INT AS end_char, format('block_{{:03d}}', no) AS block_id, type IN ('page_header', 'page_footer') AS is_noise FROM spanned",
         "json_documents": _with(_STRUCTURED) + " SELECT d AS document_id, format('block_{:03d}', no) AS block_id, type, text, p AS page, (stop - length(text))::INT AS start, stop::INT AS end, type IN ('page_header', 'page_footer') AS is_noise, level::INT AS level, items, columns, rows FROM spanned",
         "line_blocks": _with(_LINE) + f" SELECT {_BLOCK}, after_blank FROM blocks",
+        "table_blocks": _tables() + " SELECT d AS document_id, format('block_{:03d}', no) AS block_id, columns, rows, (stop - length(text))::INT AS start_char, stop::INT AS end_char FROM spanned WHERE type = 'table'",
         "line_documents": _with(_LINE, _documents(False)) + " SELECT d AS document_id, full_text, page_count::INT AS page_count FROM docs",
         "normalized_pages": _with(_STRUCTURED, _documents(True)) + " SELECT d AS document_id, p AS page_number, a::INT AS start_char, (a + length(t))::INT AS end_char, t AS text FROM page_at",
         "structural_units": edges([]) + " SELECT d AS document_id, k::INT AS unit_no, s::INT AS start, e::INT AS end, type, heading, table_header, is_header FROM units",
