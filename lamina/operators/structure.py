@@ -21,10 +21,14 @@ PAGE = ["document_id", "page_number"]
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """document_id, page_number, line_no, raw and the classification of every preprocessed line."""
-    raw = pages.select(*PAGE, F.posexplode(F.split(T.preprocess(F.coalesce("text", F.lit(""))), "\n", -1)).alias("line_no", "raw"))
+    """document_id, page_number, line_no, raw and the classification of every preprocessed line.
+
+    Pages are dealt by document before their lines are told apart: all windows, groups and
+    joins that follow are within a document and need no exchange of lines.
+    """
+    raw = pages.repartition("document_id").select(*PAGE, F.posexplode(F.split(T.preprocess(F.coalesce("text", F.lit(""))), "\n", -1)).alias("line_no", "raw"))
     line = F.col("raw")
-    out = raw.withColumn("line", T.strip(line)).withColumn("indent", T.indent(line)).withColumn("kind", C.line_type(line))
+    out = raw.withColumns({"line": T.strip(line), "indent": T.indent(line), "kind": C.line_type(line)})
     return out.withColumn("text", C.line_text(line, F.col("kind")))
 
 
