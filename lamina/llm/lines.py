@@ -30,20 +30,27 @@ NUM, DEN = 80, 100
 MIN_CHARS = SHINGLE
 _rng = np.random.default_rng(96)
 _SCALE = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _STEP = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(chars: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of lines one after another, and where each line's begin (one more at the end)."""
-    n = last - first - SHINGLE + 1
-    begins = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(begins[-1]) - np.repeat(begins[:-1], n) + np.repeat(first, n)
-    return span_hash(sums, chars[at], chars[at + SHINGLE]), begins
+def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of the texts of a slice, one after another, and where each text's begin (one more at the end)."""
+    chars = np.flatnonzero((s.data & 0xC0) != 0x80)
+    edges = np.searchsorted(chars, s.offsets)
+    windows = span_hash(s.prefix(), chars[: len(chars) - SHINGLE + 1], np.append(chars, len(s.data))[SHINGLE:])
+    whole = np.ones(len(windows), bool)
+    for k in range(1, SHINGLE):  # those that run over the end of their text
+        over = edges[1:] - k
+        whole[over[(over >= edges[:-1]) & (over < len(windows))]] = False
+    return windows[whole], np.concatenate([[0], np.cumsum(np.maximum(np.diff(edges) - SHINGLE + 1, 0))])
 
 
 def bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """BANDS band keys for each line, as an array of lines by bands."""
+    """BANDS band keys for each line, as an array of lines by bands.
+
+    A MinHash value is the least product, modulo 2**32, of a random odd number and the hash
+    of a shingle, which is random already.
+    """
     low = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(begins) - 1, BANDS), np.uint64)
     hashed = np.empty_like(low)
@@ -51,7 +58,6 @@ def bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
         key = np.full(len(begins) - 1, band + 1, np.uint64)
         for j in range(band * ROWS, band * ROWS + ROWS):
             np.multiply(low, _SCALE[j], out=hashed)
-            np.add(hashed, _SHIFT[j], out=hashed)
             key += np.minimum.reduceat(hashed, begins[:-1]) * _STEP[j]
         out[:, band] = key
     return mix(out)
@@ -67,9 +73,7 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _shingled(lines: pa.Array, limit: int = SIGNED):
     """(first row, shingle hashes, where each line's begin) of lines that all have a shingle, slice by slice."""
     for s in slices(lines, limit):
-        chars = np.flatnonzero((s.data & 0xC0) != 0x80)
-        edges = np.searchsorted(chars, s.offsets)
-        yield s.first, *shingles(np.append(chars, len(s.data)), s.prefix(), edges[:-1], edges[1:])
+        yield s.first, *shingles(s)
 
 
 def _signed(batch: pa.RecordBatch):
@@ -84,10 +88,7 @@ def _signed(batch: pa.RecordBatch):
 @lru_cache(maxsize=2048)
 def line_set(raw: bytes) -> np.ndarray:
     """The sorted distinct shingle hashes of one line."""
-    s = Slice(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    chars = np.flatnonzero((s.data & 0xC0) != 0x80)
-    h, _ = shingles(np.append(chars, len(raw)), s.prefix(), np.array([0]), np.array([len(chars)]))
-    return np.unique(h)
+    return np.unique(shingles(Slice(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))[0])
 
 
 def _texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:

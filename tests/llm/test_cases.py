@@ -17,7 +17,7 @@ NAMES = "dropped _h _i _g _doc _key _id _text node n sig _rejected _host _bad _q
 def crowded(spark):
     """Documents with a column of every name that the operators use themselves."""
     words = [f"word{i}" for i in range(40)]
-    rows = [(1, " ".join(words), "en", "s", 9), (2, " ".join(words[::-1]) + "\n" + " ".join(words), "en", "s", 9), (3, None, None, None, None)]
+    rows = [(1, " ".join(words), "en", "s", 9), (2, " ".join(f"{i}th thing" for i in range(100, 140)) + "\n" + " ".join(words), "en", "s", 9), (3, None, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in NAMES})
 
 
@@ -45,7 +45,7 @@ def test_pipeline_of_empty_and_null_tables(spark, tmp_path):
     import corpus_pipeline
 
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None), (None, "", None, None, 0), (1, " ".join(f"w{i}" for i in range(30)), None, None, None)])):
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None), (None, "", None, None, 0), (1, " ".join(f"w{i}" for i in range(30)), None, "own host", None)])):
         folder = f"{tmp_path}/{name}"
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
