@@ -108,7 +108,8 @@ def _texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, text: str, key:
 
     schema = "node long, set binary, " + ", ".join(f"{c} {kind}" for c, kind in SKETCH)
     # rows repeated in full give a line once each
-    return cut(chosen.select(F.explode(found).alias("l")).select("l.node", "l.set").mapInArrow(run, schema).dropDuplicates(["node"]), "texts")
+    each = chosen.select(F.explode(found).alias("l")).select("l.node", "l.set").dropDuplicates(["node"])
+    return cut(each.mapInArrow(run, schema), "texts")
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
