@@ -151,8 +151,8 @@ def validate_blocks(blocks: DataFrame, full_text: DataFrame, pages: DataFrame |
     ragged = blocks.where((F.col("type") == "table") & (F.size("columns") > 0) & ~F.forall("rows", lambda r: F.size(r) == F.size("columns")))
     lists = blocks.where((F.col("type") == "list") & ((F.size("items") == 0) | F.exists("items", lambda x: T.strip(x) == "")))
     twice = blocks.groupBy("document_id", "block_id").count().where("count > 1")
-    shape = F.struct("block_id", "type", "text", "items", "columns", "rows")
-    kind = "struct<block_id:string,type:string,text:string,items:array<string>,columns:array<string>,rows:array<array<string>>>"
+    shape = F.struct("block_id", "type", "text", "page_number", "start_char", "end_char", "is_noise", "level", "items", "columns", "rows")
+    kind = "struct<block_id:string,type:string,text:string,page_number:int,start_char:int,end_char:int,is_noise:boolean,level:int,items:array<string>,columns:array<string>,rows:array<array<string>>>"
     trip = blocks.where(F.to_json(F.from_json(F.to_json(shape), kind)) != F.to_json(shape))
     named = lambda rows, invariant, message: _issues(rows, invariant, F.concat(F.col("block_id"), F.lit(f": {message}")), None)
     found = [
