@@ -23,7 +23,7 @@ from .kernels import mix
 FOLDS = [f"f{i}" for i in range(8)]
 WIDE = 256
 #: Pairs of key and node packed at once by a task that makes them, and held at once by one that sorts them out.
-PACKED, HELD = 1 << 19, 1 << 22
+PACKED, HELD = 1 << 18, 1 << 22
 #: Keys of a node kept to tell the first one a pair shares.
 FIRST_KEYS = 16
 

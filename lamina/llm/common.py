@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 #: Bytes, as zstd Parquet, up to which a written table is sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of a batch for a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: list[str] = []
 _scratch: list[list[tuple[SparkSession, str]]] = []
 
@@ -58,6 +61,15 @@ def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send a Python worker at most BATCH_BYTES of a table at once, unless the session has set a size of its own.
+
+    Spark's default is 64 MB; buffers of that size stay with the executor for good.
+    """
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def sent(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` bytes; else as it is, for a shuffled join.
 

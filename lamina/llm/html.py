@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PATH_BUCKETS, WORD_BUCKETS, SHAPES = 512, 512, 10
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 BATCH_BLOCKS = 4000
@@ -331,6 +333,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
     read each; no row is compared with others, so there are no ties; an empty table gives no
     rows; columns text and n_chars of ``pages`` are replaced, no other name clashes.
     """
+    small_batches(pages.sparkSession)
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html, "text", "n_chars")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema.fields)
 

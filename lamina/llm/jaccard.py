@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
-from .common import cut, keyed, scratch, sent, unkeyed
+from .common import cut, keyed, scratch, sent, small_batches, unkeyed
 from .kernels import LOWER, distinct, mix, run_hash, slices, span_hash
 
 SHINGLE = 5
@@ -200,6 +200,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     share the smallest key of what either links to.  Very long texts are read whole.  An empty
     table gives no rows; other columns are not read, so their names can't clash.
     """
+    small_batches(docs.sparkSession)
     with scratch():
         survey = cut(_survey(docs, text, key), "survey")
         members = cut(_bucketed(docs, _weights(survey), text), "members")

@@ -18,6 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+# Workers live on between tasks: freed buffers go back to the system, not to a pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of a slice: its 64-bit arrays stay within a core's cache.
 SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
-from .common import cut, let, scratch, sent
+from .common import cut, let, scratch, sent, small_batches
 from .kernels import Slice, distinct, mix, slices, span_hash
 
 SHINGLE = 5
@@ -138,6 +138,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def _with_dropped(docs: DataFrame, text: str, key: str) -> DataFrame:
     """_doc (the row of ``docs``, packed so that no name can clash), _text, n_lines, and the sorted numbers of the lines it loses."""
+    small_batches(docs.sparkSession)
     with scratch():
         gone = cut(dropped_lines(docs, text, key), "dropped", keep=True)
     gone = gone.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("dropped").alias("_dropped"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_rank
+from .common import cut, small_batches, with_rank
 
 SEQUENCE = 1024
 END_ID = 2
@@ -198,6 +198,7 @@ def pack(docs: DataFrame, limit: int = SEQUENCE, text: str = "text", key: str =
     each, ties in any order; an empty table gives no rows; other columns are not read.  The plan has at most a few rows for each length, so
     it is sent to every executor.
     """
+    small_batches(docs.sparkSession)
     found = cut(pieces(docs, limit, text, key, tokenizer), "pieces")
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most `limit` rows
     placed = np.array(sorted(placements(plan_sequences(histogram, limit))), np.int64).reshape(-1, 5)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sent
+from .common import cut, sent, small_batches
 from .kernels import SPACE, mix, run_hash, slices, span_hash
 
 MIN_WORDS = 20
@@ -115,6 +115,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
 
 def _verdicts(docs: DataFrame, keep: list[str], text: str, host: str, limit: float, reuse: bool) -> DataFrame:
     """Columns _k0 .. of ``keep``, the metrics as _q_.., _failed and _kept: names that can't clash with those of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(host).alias("_host"), F.col(text).alias("_words"))
     measured = with_metrics(rows, "_words", [*(f"_k{i}" for i in range(len(keep))), "_host"])
     if reuse:

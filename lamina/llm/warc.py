@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sent, shared_dir
+from .common import cut, sent, shared_dir, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
@@ -83,6 +83,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     an empty table gives no archive; other columns are not read.  A task that runs twice leaves
     a file of its own each time; only files in the returned rows count, so read those.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_url"), body.alias("_body"))
     firsts = rows.groupBy(F.unhex(F.sha1("_body")).alias("_sha")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").select("_sha", "_first")
