@@ -1,5 +1,6 @@
 """From shared keys to components without making all pairs of a key.
 
+Keys that the same nodes share are one key from the start, with their number as its weight.
 Every node is first verified against one hub of its keys, then against one drawn leader; the
 links found are closed to components.  Only then are pairs of a key made, of nodes still in
 different components whose sizes and parity sketches don't rule them out, each at the first
@@ -54,9 +55,21 @@ def _met(sig: np.ndarray, node: np.ndarray, known: np.ndarray) -> tuple[np.ndarr
     return np.flatnonzero(told), np.flatnonzero(~told), keys[met], sig, node
 
 
-def meetings(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+def _set_names(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A name for the set of nodes of each key, at each of its pairs; pairs come key by key, without repeats."""
+    if not len(sig):
+        return sig
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig)))
+    total = np.add.reduceat(mix(node.view(np.uint64) ^ np.uint64(0x6B)), first)
+    return np.repeat(mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), size)
+
+
+def meetings(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], by_set: bool = False) -> DataFrame:
     """(sig, node) of the keys that two or more nodes share; ``keys`` gives (key, node) arrays for a batch of ``source``.
 
+    With ``by_set`` a key goes by a name of its set of nodes, unless it is told in pieces.
+
     Keys are dealt into buckets in the tasks that make them and shuffled as packed blobs, so
     that Spark moves some thousand rows instead of a row for each key.  A task takes its
     buckets one by one, HELD pairs at a time: keys with two nodes are told at once and only
@@ -103,9 +116,12 @@ def meetings(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[
             held, n = [none], 0
             if len(sig):
                 told, waits, found, sig, node = _met(sig, node, known)
+                name = sig[told]
+                if by_set and last and not len(known):
+                    name = _set_names(name, node[told])
                 if not last:
                     held, known = [(sig[waits], node[waits])], np.union1d(known, found)
-                yield from rows(sig[told], node[told])
+                yield from rows(name, node[told])
 
         for b in batches:
             for bucket, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -123,6 +139,15 @@ def meetings(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[
     return dealt.mapInArrow(meet, "sig long, node long")
 
 
+def meeting_sets(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(sig, node, w): as ``meetings``, but keys that the same nodes share are one, and w their number.
+
+    A passage that two texts share gives them dozens of keys, which say the same.  Sets whose
+    64-bit names collide are compared as one, so no pair is lost.
+    """
+    return meetings(source, keys, by_set=True).groupBy("sig", "node").agg(F.count(F.lit(1)).alias("w"))
+
+
 def parity_folds(owner: np.ndarray, h: np.ndarray, n: int) -> list[pa.Array]:
     """A 512-bit parity sketch of each of n sets, as the FOLDS columns of longs; ``h``: distinct hashes of set ``owner``."""
     size = 64 * len(FOLDS)
@@ -175,21 +200,21 @@ def _may_link(num: int, den: int) -> str:
 
 def _closest(rows: DataFrame, lead: DataFrame) -> DataFrame:
     """(a, b): each node with the leader of most of its keys."""
-    shared = rows.select("sig", "node").join(lead, "sig").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("k"))
+    shared = rows.select("sig", "node", "w").join(lead, "sig").where("node <> leader").groupBy("node", "leader").agg(F.sum("w").alias("k"))
     closest = shared.groupBy("node").agg(F.max(F.struct("k", "leader"))["leader"].alias("leader"))
     x, y = F.col("node"), F.col("leader")
     return cut(closest.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, c) of the keys whose nodes are in two components or more."""
-    placed = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    """(sig, node, w, c) of the keys whose nodes are in two components or more."""
+    placed = members.join(labels, "node", "left").select("sig", "node", "w", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     return cut(placed.join(mixed, "sig", "left_semi"), "open")
 
 
 def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sides: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) of all nodes with a link, from the cut table ``members`` (sig, node) of ``meetings``.
+    """(node, component) of all nodes with a link, from the cut table ``members`` of ``meeting_sets``.
 
     ``verify`` keeps the pairs (a, b) that are linked; ``sides``: a cut of node and SKETCH.
     First each node is verified against a hub: of each key the node that meets most others,
@@ -198,9 +223,8 @@ def closed_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     still mixed, against a leader drawn by hash.  Last come the pairs of a key whose ends
     are still in different components.
     """
-    members = members.select("sig", "node")
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
-    fame = members.join(sizes, "sig").groupBy("node").agg(F.sum("m").alias("fame"))
+    fame = members.join(sizes, "sig").groupBy("node").agg(F.sum(F.col("m") * F.col("w")).alias("fame"))
     hubs = members.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node"))["node"].alias("leader"))
     check = lambda pairs: cut(verify(cut(possible(pairs, sides, num, den), "possible")), "links")
     tried = _closest(members, hubs)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
+from .buckets import SKETCH, closed_components, meeting_sets, similar_sets, sketched
 from .common import cut, keyed, scratch, sent, small_batches, unkeyed
 from .kernels import LOWER, distinct, mix, run_hash, slices, span_hash
 
@@ -151,7 +151,7 @@ def _weights(survey: DataFrame) -> np.ndarray:
 
 
 def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
-    """(sig, node): the members of blocks that two or more sets share."""
+    """(sig, node, w): the members of blocks that two or more sets share, and how many blocks the same sets share."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def keys(batch: pa.RecordBatch):
@@ -166,7 +166,7 @@ def _bucketed(docs: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
             keep = fresh[row]
             yield sig[keep], node[row[keep]]
 
-    return meetings(docs.select(F.col(text).alias("_text")), keys)
+    return meeting_sets(docs.select(F.col(text).alias("_text")), keys)
 
 
 def _sets(docs: DataFrame, homes: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:

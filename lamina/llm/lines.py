@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import SKETCH, closed_components, meetings, similar_sets, sketched
+from .buckets import SKETCH, closed_components, meeting_sets, similar_sets, sketched
 from .common import cut, let, scratch, sent, small_batches
 from .kernels import Slice, distinct, mix, slices, span_hash
 
@@ -123,7 +123,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     place = F.struct("_id", "_h", "line")
     lines = cut(every.drop("_line"), "lines")
     places = cut(lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")), "places")
-    members = cut(meetings(every.where(F.char_length("_line") >= MIN_CHARS).select("node", "_line"), _signed), "members")
+    members = cut(meeting_sets(every.where(F.char_length("_line") >= MIN_CHARS).select("node", "_line"), _signed), "members")
     nodes = cut(members.select("node").distinct(), "nodes")
     texts = _texts(docs, places, nodes, text, key)
     labels = closed_components(members, lambda pairs: similar_sets(pairs, texts, NUM, DEN, line_set), texts.drop("set"), NUM, DEN)

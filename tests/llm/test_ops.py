@@ -326,6 +326,48 @@ def test_meetings(spark, monkeypatch):
     assert sorted(set(map(tuple, buckets.meetings(df, keys).collect()))) == want
 
 
+def test_keys_of_the_same_nodes_are_one(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from lamina.llm import buckets
+
+    r = np.random.default_rng(6)
+    rows = [(int(k) * 1_000_003, int(n)) for k, n in zip(r.integers(0, 500, 1500), r.integers(0, 12, 1500), strict=True)] + [(k, n) for k in range(-90, 0) for n in (1, 2, 3)] + [(-5, 2)]
+    held = {}
+    for k, n in rows:
+        held.setdefault(k, set()).add(n)
+    want = Counter(frozenset(ns) for ns in held.values() if len(ns) > 1)
+    df = spark.createDataFrame(rows, "sig long, node long").repartition(3)
+    keys = lambda b: iter([(np.asarray(b.column(0)), np.asarray(b.column(1)))])
+
+    def found():
+        got, weights = {}, {}
+        for x in buckets.meeting_sets(df, keys).collect():
+            got.setdefault(x["sig"], set()).add(x["node"])
+            weights.setdefault(x["sig"], set()).add(x["w"])
+        return got, weights
+
+    got, weights = found()
+    assert {frozenset(ns): weights[k] for k, ns in got.items()} == {ns: {w} for ns, w in want.items()}
+    assert len(got) == len(want) < len(held)
+    monkeypatch.setattr(buckets, "HELD", 16)
+    monkeypatch.setattr(buckets, "PACKED", 64)
+    pairs = lambda sets: {p for ns in sets for p in combinations(sorted(ns), 2)}
+    assert pairs(found()[0].values()) == pairs(want)
+
+
+def test_a_shared_passage_is_one_key(spark):
+    r, words = random.Random(9), vocabulary(5, 3000)
+    passage = prose(r, words, 150)
+    rows = [(f"{prose(r, words, 150)} {passage} {prose(r, words, 150)}",) for _ in range(4)]
+    df = spark.createDataFrame(rows, "text string")
+    members = jaccard._bucketed(df, np.zeros(jaccard.SLOTS, np.int8), "text").collect()
+    assert len(members) <= 4 * 11  # of four texts there are eleven sets of two and more
+    assert len({(x["sig"], x["node"]) for x in members}) == len(members)
+    assert sum(x["w"] for x in members) > 4 * 11
+
+
 def test_keys_with_two_nodes_are_met_in_pieces():
     from lamina.llm.buckets import _met
 
